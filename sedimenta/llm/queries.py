@@ -1,0 +1,17 @@
+"""Queries of the training-text problems over the given tables, with SQL twins where SQL can say them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sedimenta.llm.near_duplicates import near_duplicate_pairs
+from sedimenta.sources import load
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_pairs({"document_chunk": load(spark, d, "document_chunk").select("id", "content"), "code_unit": load(spark, d, "code_unit").select("id", "body")})
+
+
+QUERIES = {"p1_found": p1_found}
+
+SQL: dict[str, str] = {}

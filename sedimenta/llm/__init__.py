@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries",)
+MODULES = ("problem_queries",)
 
 
 def queries() -> dict:

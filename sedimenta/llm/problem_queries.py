@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.byte_bpe import count_tokens, encode
+from sedimenta.llm.function_docs import function_docs
 from sedimenta.llm.near_duplicates import near_duplicate_pairs
 from sedimenta.llm.packing import pack_documents
 from sedimenta.llm.pieces import cut_oversized
@@ -24,6 +25,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece_no = 0").select("chunk_id")
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return function_docs(load(spark, d, "code_unit")).where("verdict = 'described'").drop("verdict")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return function_docs(load(spark, d, "code_unit"), texts=False).where("verdict != 'described'").select("unit_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(load(spark, d, "documents"), "doc_id", "text")
 
@@ -38,6 +47,6 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).groupBy("container").agg(F.count(F.lit(1)).alias("n_items"), F.sum(n).alias("n_tokens"), (F.lit(2048) - F.sum(n)).alias("unused"), F.sum(n + n * n / 512).alias("cost"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
 
 SQL = {"p3_found": "SELECT DISTINCT id AS chunk_id FROM document_chunk WHERE length(content) > 2000"}

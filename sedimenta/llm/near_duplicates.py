@@ -5,7 +5,9 @@
 2. Inverted index. Posting lists are keyed by the bytes of a block of ``WIDTH`` neighbouring positions, because a
    list for one byte of one position would hold 1/256 of all texts and its pairs would grow with the square.
    Postings travel as packed arrays, one row per task and slice of the key space, and each slice is sorted and
-   read in one task.
+   read in one task. A posting names its text by 32 bits; texts that share them are told apart after the count
+   filter, so this costs a few candidates and loses none. It also has the size of the text's set in eighths of a
+   doubling: sets whose sizes differ by more than the threshold allows are not tallied.
 3. Count filter. The shared blocks of a pair are tallied over all slices. A pair at the threshold of one half
    shares each block with probability 1/8: of 96 blocks it shares fewer than 3 (9 positions, 18 bytes) with
    probability 3e-4, at a similarity of 0.55 with 5e-6. Fewer than that many matches drop the pair.
@@ -106,20 +108,20 @@ def _membership(min_words: int):
 
 
 def _postings(min_words: int, width: int, slices: int):
-    def pack(keys: list, classes: list) -> pa.RecordBatch:
+    def pack(keys: list, classes: list, extents: list) -> pa.RecordBatch:
         key, cls = np.concatenate(keys), np.concatenate(classes)
         at = (key % np.uint64(slices)).astype(np.int32).ravel()
         order = np.argsort(at, kind="stable")
         cut = np.searchsorted(at[order], np.arange(slices + 1))
-        key, cls = (key.ravel() >> np.uint64(32)).astype(np.uint32)[order], np.repeat(cls, BLOCKS)[order]
+        key = (key.ravel() >> np.uint64(32)).astype(np.uint32)[order]
+        name = np.repeat((cls >> np.uint64(32)).astype(np.uint32), BLOCKS)[order]
+        extent = np.repeat(np.concatenate(extents), BLOCKS)[order]
         own = np.flatnonzero(cut[1:] > cut[:-1])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(own.astype(np.int32)), pa.array([key[cut[s] : cut[s + 1]].tobytes() for s in own], pa.binary()), pa.array([cls[cut[s] : cut[s + 1]].tobytes() for s in own], pa.binary())],
-            ["slice", "keys", "classes"],
-        )
+        packed = [pa.array([column[cut[s] : cut[s + 1]].tobytes() for s in own], pa.binary()) for column in (key, name, extent)]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *packed], ["slice", "keys", "names", "extents"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, seen, keys, classes, held = WordHashes(), set(), [], [], 0
+        memory, seen, keys, classes, extents, held = WordHashes(), set(), [], [], [], 0
         for batch in batches:
             for tag, _, cls, words, counts in _read(batch, memory, min_words):
                 new = np.zeros(len(cls), dtype=bool)
@@ -132,56 +134,60 @@ def _postings(min_words: int, width: int, slices: int):
                 if not new.any():
                     continue
                 words, counts, cls = words[np.repeat(new, counts)], counts[new], cls[new]
-                keys.append(block_keys(tag, fingerprints(*shingles(words, counts, width))))
+                x, starts = shingles(words, counts, width)
+                keys.append(block_keys(tag, fingerprints(x, starts)))
                 classes.append(cls)
+                sizes = np.array([len(np.unique(own)) for own in np.split(x, starts[1:])])
+                extents.append(np.floor(np.log2(sizes) * 8).astype(np.uint8))
                 held += len(cls)
                 if held >= BUFFER:
-                    yield pack(keys, classes)
-                    keys, classes, held = [], [], 0
+                    yield pack(keys, classes, extents)
+                    keys, classes, extents, held = [], [], [], 0
         if held:
-            yield pack(keys, classes)
+            yield pack(keys, classes, extents)
 
     return run
 
 
-def _tallied(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    n = np.diff(np.append(first, len(a))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(_signed(a[first])), pa.array(_signed(b[first])), pa.array(n)], ["a", "b", "n"])
-
-
-def _shared_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All postings of a slice in, pairs of classes with the number of blocks they share in it out, piece by piece."""
-    keys, classes = [], []
-    for batch in batches:
-        keys += [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in batch.column("keys")]
-        classes += [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("classes")]
-    if not keys:
-        return
-    key, cls = np.concatenate(keys), np.concatenate(classes)
-    del keys, classes
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    once = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-    key, cls = key[once], cls[once]
-    at, step, left, right, held = np.arange(len(key)), 0, [], [], 0
-    while True:  # the pairs at distance 1, 2, ... within the lists; the longest list sets the number of rounds
-        step += 1
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        if not len(at):
-            break
-        for part in np.array_split(at, len(at) // 1_000_000 + 1):
-            left.append(cls[part])  # within a list the classes are sorted, so a < b
-            right.append(cls[part + step])
-            held += len(part)
-            if held >= 2_000_000:
-                yield _tallied(np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
-    if held:
-        yield _tallied(np.concatenate(left), np.concatenate(right))
+def _tallied(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(pair)), pa.array(n.astype(np.int32))], ["pair", "n"])
+
+
+def _shared_blocks(threshold: float):
+    """All postings of a slice in, pairs of names with the number of blocks they share in it out, piece by piece."""
+    reach = int(np.ceil(8 * np.log2(1 / threshold))) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: dict[str, list] = {"keys": [], "names": [], "extents": []}
+        for batch in batches:
+            for name, kind in (("keys", np.uint32), ("names", np.uint32), ("extents", np.uint8)):
+                columns[name] += [np.frombuffer(x.as_buffer(), dtype=kind) for x in batch.column(name)]
+        if not columns["keys"]:
+            return
+        key, name, extent = (np.concatenate(columns.pop(c)) for c in ("keys", "names", "extents"))
+        order = np.argsort(key.astype(np.uint64) << np.uint64(32) | name)
+        key, name, extent = key[order], name[order], extent[order].astype(np.int16)
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (extent[1:] != extent[:-1])])
+        key, name, extent = key[once], name[once].astype(np.uint64), extent[once]
+        at, step, pairs, held = np.arange(len(key)), 0, [], 0
+        while True:  # the pairs at distance 1, 2, ... within the lists; the longest list sets the number of rounds
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            if not len(at):
+                break
+            for part in np.array_split(at, len(at) // 1_000_000 + 1):
+                part = part[np.abs(extent[part] - extent[part + step]) <= reach]
+                pairs.append(name[part] << np.uint64(32) | name[part + step])  # names ascend within a list
+                held += len(part)
+                if held >= 2_000_000:
+                    yield _tallied(pairs)
+                    pairs, held = [], 0
+        if held:
+            yield _tallied(pairs)
+
+    return run
 
 
 def _sets(min_words: int, width: int):
@@ -219,9 +225,14 @@ def class_links(texts: DataFrame, members: DataFrame, width: int, min_words: int
     """Pairs (a, b) of classes whose texts differ and are at least ``threshold`` similar."""
     spark = texts.sparkSession
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-members.count() * BLOCKS // SLICE_POSTINGS))
-    packed = texts.select("tag", "text").mapInArrow(_postings(min_words, width, slices), "slice int, keys binary, classes binary")
-    shared = packed.repartitionById(slices, F.col("slice")).mapInArrow(_shared_blocks, "a long, b long, n int")
-    candidates = materialize(shared.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_BLOCKS).select("a", "b"), "candidates")
+    packed = texts.select("tag", "text").mapInArrow(_postings(min_words, width, slices), "slice int, keys binary, names binary, extents binary")
+    shared = packed.repartitionById(slices, F.col("slice")).mapInArrow(_shared_blocks(threshold), "pair long, n int")
+    counted = shared.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_BLOCKS)
+    named = counted.select(F.shiftrightunsigned("pair", 32).alias("name_a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("name_b"))
+    classes = members.groupBy("cls").agg(F.min("tag").alias("tag")).withColumn("name", F.shiftrightunsigned("cls", 32))
+    left, right = (classes.select(F.col("name").alias(f"name_{s}"), F.col("tag").alias(f"tag_{s}"), F.col("cls").alias(s)) for s in "ab")
+    candidates = named.join(left, "name_a").join(right, "name_b").where("tag_a = tag_b AND a != b").select("a", "b")
+    candidates = materialize(candidates, "candidates")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     representatives = materialize(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("tag", "id")).alias("r")).select("r.tag", "r.id"), "representatives")
     if representatives.count() <= BROADCAST_IDS:  # else the join below shuffles

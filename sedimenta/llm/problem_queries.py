@@ -10,6 +10,7 @@ from sedimenta.llm.function_docs import function_docs
 from sedimenta.llm.near_duplicates import near_duplicate_pairs
 from sedimenta.llm.packing import pack_documents
 from sedimenta.llm.pieces import cut_oversized
+from sedimenta.llm.quality import COMMON, quality
 from sedimenta.sources import load
 
 
@@ -47,6 +48,30 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).groupBy("container").agg(F.count(F.lit(1)).alias("n_items"), F.sum(n).alias("n_tokens"), (F.lit(2048) - F.sum(n)).alias("unused"), F.sum(n + n * n / 512).alias("cost"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality(load(spark, d, "documents"), "doc_id", "text").drop("running_share", "prose")
 
-SQL = {"p3_found": "SELECT DISTINCT id AS chunk_id FROM document_chunk WHERE length(content) > 2000"}
+
+def p8_prose(spark: SparkSession, d: str) -> DataFrame:
+    return quality(load(spark, d, "documents"), "doc_id", "text").select("doc_id", "running_share", "prose")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_prose(spark, d).where("NOT prose").select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_prose": p8_prose, "p8_statistics": p8_statistics}
+
+_BLANK = r"\p{Z}\s\x{85}\x0b\x1c-\x1f"
+_STATISTICS = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, lower(coalesce(text, '')) AS low FROM documents),
+w AS (SELECT doc_id, x, regexp_extract_all(regexp_replace(low, '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}_]+') AS words,
+  list_filter(regexp_split_to_array(x, '\\r\\n|[\\n\\r\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: regexp_matches(l, '[^{_BLANK}]')) AS lines,
+  length(low) - length(regexp_replace(low, '[^\\p{{L}}\\p{{N}}_{_BLANK}]', '', 'g')) AS symbols FROM t)
+SELECT doc_id, CAST(length(x) AS BIGINT) AS n_chars, CAST(len(words) AS BIGINT) AS n_words, list_sum(list_transform(words, lambda v: length(v))) / nullif(len(words), 0) AS mean_word_length,
+  symbols / nullif(length(x), 0) AS symbol_ratio, CAST(len(lines) AS BIGINT) AS n_lines,
+  len(list_filter(lines, lambda l: regexp_matches(l, '[.!?。！？…][{_BLANK}]*$'))) / nullif(len(lines), 0) AS ended_share,
+  len(list_filter(words, lambda v: v IN ({", ".join(f"'{c}'" for c in sorted(COMMON) if "'" not in c)}))) / nullif(len(words), 0) AS common_share
+FROM w"""
+
+SQL = {"p3_found": "SELECT DISTINCT id AS chunk_id FROM document_chunk WHERE length(content) > 2000", "p8_statistics": _STATISTICS}

@@ -26,7 +26,7 @@ def call_edges(units: DataFrame) -> DataFrame:
 
 
 def callers(methods: DataFrame, edges: DataFrame) -> DataFrame:
-    """Files that call each (project_id, method_name)."""
+    """Files that call each (project_id, method_name) of the same project."""
     return methods.select("project_id", "method_name").distinct().join(edges, ["project_id", "method_name"]).select("project_id", "method_name", "caller_file").distinct()
 
 
@@ -38,9 +38,9 @@ def ripple(changed: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def impact(changed: DataFrame, units: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
-    """Per method of a changed file: how many files call it and the first ``most`` of them by name."""
+    """Per method of a changed file: how many files of any project call one of its name, and the first ``most`` of them."""
     methods = units.join(changed, ["project_id", "file_path"], "left_semi").where(F.col("method_name").isNotNull()).select("project_id", "file_path", "method_name").distinct()
-    found = methods.join(edges, ["project_id", "method_name"]).groupBy("project_id", "file_path", "method_name").agg(F.array_sort(F.collect_set("caller_file")).alias("files"))
+    found = methods.join(edges.select("method_name", "caller_file").distinct(), "method_name").groupBy("project_id", "file_path", "method_name").agg(F.array_sort(F.collect_set("caller_file")).alias("files"))
     return found.select("project_id", F.concat("file_path", F.lit("#"), "method_name").alias("changed_method"), F.size("files").alias("n_callers"), F.array_join(F.slice("files", 1, most), "|").alias("first_callers"))
 
 

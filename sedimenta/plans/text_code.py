@@ -136,13 +136,13 @@ def code_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_callers(spark: SparkSession, d: str) -> DataFrame:
-    methods = units_once(spark, d).where("id % 20 = 0").where(F.col("method_name").isNotNull())
-    return codebase.callers(methods, codebase.call_edges(units_once(spark, d)).unionByName(load(spark, d, "code_method_call").select("project_id", "caller_file", "method_name")).distinct())
+    calls = load(spark, d, "code_method_call")
+    return codebase.callers(calls.where("id % 20 = 0"), calls.select("project_id", "caller_file", "method_name").distinct())
 
 
 def _changed(spark: SparkSession, d: str) -> DataFrame:
     """Files with a unit created since the watermark."""
-    return units_once(spark, d).where("created_at >= TIMESTAMP_NTZ '2026-01-15 00:00:00'").select("project_id", "file_path").distinct()
+    return units_once(spark, d).where("created_at >= TIMESTAMP_NTZ '2025-12-15 00:00:00'").select("project_id", "file_path").distinct()
 
 
 def code_ripple(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +227,7 @@ LIVE = f"{NOW}, {CHUNKS}, live AS (SELECT ch.*, now.level, now.file_name FROM ch
 UNITS = "cu AS (SELECT DISTINCT ON (id) * FROM code_unit)"
 EDGES = UNITS + r""", edges AS (SELECT DISTINCT project_id, caller_file, method_name FROM (SELECT project_id, file_path AS caller_file, string_split(string_split(c, '(')[1], '.')[-1] AS method_name
 FROM (SELECT project_id, file_path, unnest(CASE WHEN len(enriched_calls) > 0 THEN enriched_calls ELSE calls END) AS c FROM cu) t) u WHERE length(method_name) > 0)"""
-CHANGED = "changed AS (SELECT DISTINCT project_id, file_path FROM cu WHERE created_at >= TIMESTAMP '2026-01-15')"
+CHANGED = "changed AS (SELECT DISTINCT project_id, file_path FROM cu WHERE created_at >= TIMESTAMP '2025-12-15')"
 FIVE = "five AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(seq, 2147483647), id) AS rank FROM live)"
 _EXT = r"lower(regexp_extract({c}, '\.([A-Za-z0-9]+)$', 1))"
 _LANG = "CASE " + " ".join(f"WHEN {_EXT.format(c='file_path')} = '{k}' THEN '{v}'" for k, v in codebase.LANGUAGES.items()) + f" ELSE {_EXT.format(c='file_path')} END"
@@ -267,12 +267,12 @@ FROM five WHERE rank <= 5 GROUP BY doc_id""",
     "text_citations": f"""WITH {LIVE}, {FIVE} SELECT doc_id, '[' || string_agg('{{"index":' || rank || ',"file":"' || replace(coalesce(file_name, ''), '"', '') || '","seq":' || coalesce(seq, -1) || '}}', ',' ORDER BY rank) || ']' AS sources FROM five WHERE rank <= 5 GROUP BY doc_id""",
     "tags_exploded": f"WITH {NOW} SELECT trim(tag) AS tag, count(*) AS n FROM (SELECT unnest(string_split(coalesce(tags, ''), ',')) AS tag FROM now) t WHERE trim(tag) <> '' GROUP BY 1",
     "code_edges": f"WITH {EDGES} SELECT * FROM edges",
-    "code_callers": f"WITH {EDGES} SELECT DISTINCT m.project_id, m.method_name, e.caller_file FROM cu m JOIN (SELECT * FROM edges UNION SELECT project_id, caller_file, method_name FROM code_method_call) e ON e.project_id = m.project_id AND e.method_name = m.method_name WHERE m.id % 20 = 0",
+    "code_callers": "SELECT DISTINCT m.project_id, m.method_name, e.caller_file FROM code_method_call m JOIN code_method_call e ON e.project_id = m.project_id AND e.method_name = m.method_name WHERE m.id % 20 = 0",
     "code_ripple": f"""WITH {EDGES}, {CHANGED} SELECT project_id, file_path AS file FROM changed UNION
 SELECT e.project_id, e.caller_file FROM cu JOIN changed USING (project_id, file_path) JOIN edges e ON e.project_id = cu.project_id AND e.method_name = cu.method_name""",
     "code_impact": f"""WITH {EDGES}, {CHANGED}, m AS (SELECT DISTINCT cu.project_id, cu.file_path, cu.method_name FROM cu JOIN changed USING (project_id, file_path) WHERE cu.method_name IS NOT NULL)
 SELECT project_id, file_path || '#' || method_name AS changed_method, CAST(count(*) AS INT) AS n_callers, array_to_string(list(caller_file ORDER BY caller_file)[1:5], '|') AS first_callers
-FROM m JOIN edges USING (project_id, method_name) GROUP BY project_id, file_path, method_name""",
+FROM m JOIN (SELECT DISTINCT method_name, caller_file FROM edges) e USING (method_name) GROUP BY project_id, file_path, method_name""",
     "code_enclosing": f"""WITH {UNITS}, u AS (SELECT * FROM cu WHERE start_line IS NOT NULL AND end_line IS NOT NULL), p AS (SELECT project_id, file_path, id AS point_id, CAST(floor((start_line + end_line) / 2.0) AS INT) AS line FROM u)
 SELECT project_id, file_path, point_id, line, unit_id FROM (SELECT p.*, u.id AS unit_id, row_number() OVER (PARTITION BY p.point_id ORDER BY u.end_line - u.start_line, -u.start_line, u.id) AS rn
  FROM p JOIN u ON u.project_id = p.project_id AND u.file_path = p.file_path AND p.line BETWEEN u.start_line AND u.end_line) t WHERE rn = 1""",

@@ -60,7 +60,8 @@ def mmr(pools: DataFrame, top_n: int = 4, closeness: DataFrame | None = None) ->
         q = None if q is None else np.asarray(q, dtype=np.float64) / (np.linalg.norm(q) or 1)
         rel = np.array([(n - i) / n if u is None or q is None else float(u @ q) for i, u in enumerate(unit)])
         lam = float(rows["lam"].iloc[0])
-        near_docs = {} if near is not None else {(int(a), int(b)): int(h) for a, b, h in rows["near"].iloc[0] or []}
+        listed = rows["near"].iloc[0] if near is None else None
+        near_docs = {} if listed is None else {(int(a), int(b)): int(h) for a, b, h in listed}
         docs = rows["doc_id"].tolist()
 
         def alpha(i: int, j: int) -> float:
@@ -135,7 +136,7 @@ def cross_fuse(hits: DataFrame, judgements: DataFrame, weight: float, top_n: int
 def verdicts(hits: DataFrame) -> DataFrame:
     """Corrective evaluation per query: confidence from the best three scores and the number of sources, and what to do."""
     by = hits.groupBy("query_id").agg(F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("top3"), F.count_distinct(F.when(F.col("source") != "", F.col("source"))).alias("n_sources"))
-    confidence = F.round(F.least(F.lit(1.0), F.col("top3") + F.when(F.col("n_sources") >= 2, 0.1).otherwise(0.0)), 6)
+    confidence = F.round(F.least(F.lit(1.0), F.col("top3") + F.when(F.col("n_sources") >= 2, 0.1).otherwise(0.0)), 4)
     return by.withColumn("confidence", confidence).withColumn("verdict", F.when(F.col("confidence") >= 0.7, "HIGH").when(F.col("confidence") >= 0.3, "MEDIUM").otherwise("LOW")).drop("top3")
 
 

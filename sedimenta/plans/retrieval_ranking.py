@@ -170,7 +170,7 @@ def relevance_guard(spark: SparkSession, d: str) -> DataFrame:
 
 def corrective_verdicts(spark: SparkSession, d: str) -> DataFrame:
     hits = dense_top_k(spark, d)
-    return ranking.verdicts(hits.withColumn("source", F.when(F.col("rank") % 2 == 0, "B").otherwise("")).withColumn("score", F.col("score") * 0.7))
+    return ranking.verdicts(hits.withColumn("source", F.when(F.col("rank") % 2 == 0, "B").otherwise("")))
 
 
 def noise_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -332,7 +332,7 @@ _COMPOSITE = "round(0.35 * hit4 + 0.25 * rr + 0.2 * recall8 + 0.2 * precision4,
 _QREL = r"SELECT DISTINCT id AS query_id, CAST(unnest(regexp_extract_all(chunk_ids, '[0-9]+')) AS BIGINT) AS item FROM pt WHERE id % 20 = 0 AND source_question IS NOT NULL"
 _GRID = f"""WITH {VEC}, dn AS ({_dense_sql(12)}), bs AS (SELECT query_id, max(score) AS best FROM dn GROUP BY 1), pa AS (SELECT 'k' || k || '-n' || n || '-f' || f AS label, k, n, f FROM (SELECT unnest([4, 8, 12]) AS k) a, (SELECT unnest([2, 4, 6]) AS n) b, (SELECT unnest([0.5, 0.7, 0.9]) AS f) c WHERE n <= k),
  ru AS (SELECT label || '/' || query_id AS query_id, label, chunk_id AS item, rank FROM dn JOIN bs USING (query_id), pa WHERE rank <= k AND rank <= n AND score >= f * best),
- qr AS (SELECT label || '/' || query_id AS query_id, chunk_id AS item FROM dn JOIN embeddings a ON a.vec_id = dn.query_id JOIN embeddings b ON b.vec_id = dn.chunk_id, pa WHERE a.label = b.label), {_METRICS.replace("SELECT ru.*", "SELECT ru.query_id, ru.rank")},
+ qr AS (SELECT pa.label || '/' || query_id AS query_id, chunk_id AS item FROM dn JOIN embeddings a ON a.vec_id = dn.query_id JOIN embeddings b ON b.vec_id = dn.chunk_id, pa WHERE a.label = b.label), {_METRICS.replace("SELECT ru.*", "SELECT ru.query_id, ru.rank")},
  gr AS (SELECT string_split(query_id, '/')[1] AS label, {_MEANS} FROM me GROUP BY 1)"""
 _KEYWORD = f"WITH {ASKED}, {CORPUS}, kw AS ({_keyword_sql(8)})"
 _DENSE8 = f"WITH {VEC}, dn AS ({_dense_sql(8)})"
@@ -368,10 +368,10 @@ SQL = {
  SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM x) r WHERE rank <= 4""",
     "relevance_guard": f"""{_DENSE8}, {_JUDGED}, x AS (SELECT dn.query_id, dn.chunk_id, rank, coalesce(relevant, true) AS ok FROM dn LEFT JOIN jd USING (query_id, chunk_id)), y AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (WHERE ok) OVER (PARTITION BY query_id) AS k FROM x)
  SELECT query_id, chunk_id, rank FROM y WHERE n <= 2 OR ok OR (k = 0 AND rank = 1)""",
-    "corrective_verdicts": f"""{_DENSE8}, c AS (SELECT query_id, round(least(1.0, avg(score * 0.7) FILTER (WHERE rank <= 3) + CASE WHEN count(DISTINCT CASE WHEN rank % 2 = 0 THEN 'B' END) >= 2 THEN 0.1 ELSE 0 END), 6) AS confidence, count(DISTINCT CASE WHEN rank % 2 = 0 THEN 'B' END) AS n_sources FROM dn GROUP BY 1)
+    "corrective_verdicts": f"""{_DENSE8}, c AS (SELECT query_id, round(least(1.0, avg(score) FILTER (WHERE rank <= 3) + CASE WHEN count(DISTINCT CASE WHEN rank % 2 = 0 THEN 'B' END) >= 2 THEN 0.1 ELSE 0 END), 4) AS confidence, count(DISTINCT CASE WHEN rank % 2 = 0 THEN 'B' END) AS n_sources FROM dn GROUP BY 1)
  SELECT query_id, n_sources, confidence, CASE WHEN confidence >= 0.7 THEN 'HIGH' WHEN confidence >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS verdict FROM c""",
     "noise_floor": f"{_KEYWORD} SELECT query_id, chunk_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM kw) t WHERE m <= 0 OR score >= 0.8 * m",
-    "corrective_retry": f"""WITH {VEC}, a AS ({_dense_sql(4, 'level IN (1, 2)')}), b AS ({_dense_sql(8)}), m AS (SELECT query_id FROM a GROUP BY 1 HAVING round(least(1.0, avg(score) FILTER (WHERE rank <= 3)), 6) < 0.7),
+    "corrective_retry": f"""WITH {VEC}, a AS ({_dense_sql(4, 'level IN (1, 2)')}), b AS ({_dense_sql(8)}), m AS (SELECT query_id FROM a GROUP BY 1 HAVING round(least(1.0, avg(score) FILTER (WHERE rank <= 3)), 4) < 0.7),
  u AS (SELECT query_id, chunk_id, score, 0 AS src FROM a UNION ALL SELECT query_id, chunk_id, score, 1 FROM b WHERE query_id IN (SELECT query_id FROM m)), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, src) AS r FROM u)
  SELECT query_id, chunk_id, score, src, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM x WHERE r = 1""",
     "answer_confidence": f"""{_base(8)}, cf AS (SELECT DISTINCT kw.query_id, ch.doc_id FROM kw JOIN ch ON ch.id = kw.chunk_id), x AS (SELECT dn.*, CASE WHEN cf.doc_id IS NOT NULL THEN 1 ELSE 0 END AS yes FROM dn LEFT JOIN ch ON ch.id = dn.chunk_id LEFT JOIN cf ON cf.query_id = dn.query_id AND cf.doc_id = ch.doc_id),

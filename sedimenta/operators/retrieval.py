@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.sources import materialize
+
 QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 BROADCAST_BYTES = 64 << 20
 
@@ -93,10 +95,15 @@ def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b
     Only grams of the queries reach the postings, and they are counted per chunk before they are shuffled. Grams in more
     than ``common`` of all chunks carry no weight: they are what lets a join of postings grow with the square.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
-    grams = corpus.select("chunk_id", bigrams(F.col("text")).alias("grams")).withColumn("size", F.size("grams")).where("size > 0")
-    totals = grams.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
-    postings = grams.select("chunk_id", "size", F.explode("grams").alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("chunk_id", "gram").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+    # written once: with its size known, Catalyst broadcasts it where it is small and shuffles where it isn't
+    asked = materialize(queries.select("query_id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram")), "asked")
+    bare = F.regexp_replace(F.lower(F.col("text")), r"[^\p{L}\p{N}]", "")
+    sizes = corpus.select((F.length(bare) - 1).alias("size")).where("size > 0")
+    totals = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
+    # partitioned by chunk before the grams are exploded, so that texts are shuffled and grams are not
+    grams = corpus.repartition("chunk_id").select("chunk_id", bigrams(F.col("text")).alias("grams")).select("chunk_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    counted = grams.groupBy("chunk_id", "size", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    postings = materialize(counted.join(asked.select("gram").distinct(), "gram", "left_semi"), "postings")
     known = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals)).where(F.col("df") <= F.col("n") * common)  # totals: one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
@@ -110,7 +117,7 @@ def words(text: Column) -> Column:
 
 def query_terms(queries: DataFrame, corpus: DataFrame, most: int = 8) -> DataFrame:
     """(query_id, term, weight): the ``most`` rarest words of each query; weight 1 for the rarest, in proportion to idf."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    asked = materialize(queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")), "asked")
     held = corpus.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
@@ -129,7 +136,7 @@ def term_frequency(content: Column, term: Column) -> Column:
 
 def sparse_top_k(terms: DataFrame, corpus: DataFrame, k: int, least: float = 0.3, per_term: int = 15) -> DataFrame:
     """Weighted terms: each term's best ``per_term`` chunks by frequency, summed as weight * frequency per chunk."""
-    used = terms.where(F.col("weight") >= least)
+    used = materialize(terms.where(F.col("weight") >= least), "terms")
     held = corpus.select("chunk_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(used.select("term").distinct(), "term", "left_semi")
     hits = top_k(held.select("term", "chunk_id", term_frequency(F.col("text"), F.col("term")).alias("score")), per_term, "term")
     summed = used.join(hits, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))

@@ -51,7 +51,7 @@ def html_text(html: Column) -> Column:
 def unfence(text: Column) -> Column:
     """The body of the first fenced block, else the text itself."""
     fenced = F.regexp_extract(text, r"(?s)```[A-Za-z]*\s*(.*?)```", 1)
-    return F.trim(F.when(text.contains("```") & (fenced != ""), fenced).otherwise(text))
+    return F.regexp_replace(F.when(text.contains("```") & (fenced != ""), fenced).otherwise(text), r"^\s+|\s+$", "")
 
 
 def truncate(text: Column, n: int, suffix: str = "...") -> Column:

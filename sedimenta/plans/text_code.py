@@ -260,7 +260,7 @@ SELECT id, description, md5(CASE WHEN coalesce(trim(description), '') <> '' THEN
     "text_masked": f"WITH {CHUNKS} SELECT id, md5({_MASK}) AS masked_md5 FROM ch WHERE regexp_matches(coalesce(content, ''), '{'|'.join(sorted(WORDS, key=len, reverse=True))}')",
     "text_of_html": rf"SELECT doc_id, trim(regexp_replace({_HTML}, '\s+', ' ', 'g')) AS plain FROM documents WHERE regexp_matches(text, '<(p|table|div|td)\b')",
     "text_unfenced": rf"""WITH {CHUNKS}, x AS (SELECT id, content, regexp_extract(content, '(?s)```[A-Za-z]*\s*(.*?)```', 1) AS f FROM ch WHERE contains(content, '```'))
-SELECT id, md5(trim(CASE WHEN f <> '' THEN f ELSE content END)) AS body_md5 FROM x""",
+SELECT id, md5(regexp_replace(CASE WHEN f <> '' THEN f ELSE content END, '^\s+|\s+$', '', 'g')) AS body_md5 FROM x""",
     "text_truncated": f"WITH {CHUNKS} SELECT id, length(content) > 600 AS compress, md5(CASE WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END) AS cut_md5 FROM ch WHERE content IS NOT NULL",
     "text_context_shown": f"""WITH {LIVE}, {FIVE} SELECT doc_id, md5(string_agg('[片段' || rank || ' 来源:' || coalesce(file_name, '') || ' #' || coalesce(CAST(seq AS VARCHAR), '') || ']' || chr(10) || coalesce(content, '') || chr(10) || chr(10), '' ORDER BY rank)) AS context_md5
 FROM five WHERE rank <= 5 GROUP BY doc_id""",

@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.words import WordHashes, hashed_words, mix, shingles
+from sedimenta.operators.graph import components
 from sedimenta.sources import materialize
 
 BLOCKS, WIDTH = 96, 3
@@ -242,8 +243,8 @@ def class_links(texts: DataFrame, members: DataFrame, width: int, min_words: int
     return paired.mapInArrow(_similar(threshold), "a long, b long")
 
 
-def near_duplicate_pairs(tables: dict[str, DataFrame], width: int = 3, min_words: int = 20, threshold: float = 0.5) -> DataFrame:
-    """(table_name, id_a, id_b) of the tables' (id, text) rows; texts are compared within their own table."""
+def _linked(tables: dict[str, DataFrame], width: int, min_words: int, threshold: float) -> tuple[Column, DataFrame, DataFrame]:
+    """The table's name by its tag, (tag, id, cls) of all texts that take part, and (a, b) of linked classes."""
     names = sorted(tables)
     texts = None
     for tag, name in enumerate(names):
@@ -251,6 +252,12 @@ def near_duplicate_pairs(tables: dict[str, DataFrame], width: int = 3, min_words
         texts = part if texts is None else texts.unionByName(part)
     members = materialize(texts.mapInArrow(_membership(min_words), "tag int, id long, cls long").distinct(), "members")
     links = materialize(class_links(texts, members, width, min_words, threshold), "links")
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col("tag") + 1).alias("table_name"), members, links
+
+
+def near_duplicate_pairs(tables: dict[str, DataFrame], width: int = 3, min_words: int = 20, threshold: float = 0.5) -> DataFrame:
+    """(table_name, id_a, id_b) of the tables' (id, text) rows; texts are compared within their own table."""
+    name, members, links = _linked(tables, width, min_words, threshold)
 
     sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("head"))
     several = sizes.where("size > 1")
@@ -269,5 +276,15 @@ def near_duplicate_pairs(tables: dict[str, DataFrame], width: int = 3, min_words
     heads = sized.where(~whole).join(tag_of, "a").select("tag", F.col("head_a").alias("id_a"), F.col("head_b").alias("id_b"))
     pairs = within.unionByName(star).unionByName(across).unionByName(heads)
     ordered = pairs.select("tag", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b").distinct()
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("tag") + 1)
-    return ordered.select(name.alias("table_name"), "id_a", "id_b")
+    return ordered.select(name, "id_a", "id_b")
+
+
+def near_duplicate_groups(tables: dict[str, DataFrame], width: int = 3, min_words: int = 20, threshold: float = 0.5) -> DataFrame:
+    """(table_name, id, group_id, n_links): every text that takes part, the smallest id of those it is connected with by
+    links, and how many different texts it is linked to itself."""
+    name, members, links = _linked(tables, width, min_words, threshold)
+    connected = components(links).toDF("cls", "component")
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    placed = members.join(connected, "cls", "left").join(degree, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    heads = placed.groupBy("component").agg(F.min("id").alias("group_id"))
+    return placed.join(heads, "component").select(name, "id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.byte_bpe import count_tokens, encode
 from sedimenta.llm.function_docs import function_docs
-from sedimenta.llm.near_duplicates import near_duplicate_pairs
+from sedimenta.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from sedimenta.llm.packing import pack_documents
 from sedimenta.llm.pieces import cut_oversized
 from sedimenta.llm.quality import COMMON, quality
 from sedimenta.sources import load
 
 
+def _texts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"document_chunk": load(spark, d, "document_chunk").select("id", "content"), "code_unit": load(spark, d, "code_unit").select("id", "body")}
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_pairs({"document_chunk": load(spark, d, "document_chunk").select("id", "content"), "code_unit": load(spark, d, "code_unit").select("id", "body")})
+    return near_duplicate_pairs(_texts(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_groups(_texts(spark, d))
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +68,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_prose(spark, d).where("NOT prose").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_prose": p8_prose, "p8_statistics": p8_statistics}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_prose": p8_prose, "p8_statistics": p8_statistics}
 
 _BLANK = r"\p{Z}\s\x{85}\x0b\x1c-\x1f"
 _STATISTICS = f"""

@@ -49,6 +49,14 @@ def test_large_class_of_copies_is_a_star(spark):
     assert found == {(1, i) for i in range(2, 101)} | {(1, 500)}
 
 
+def test_groups_follow_links(spark):
+    base = [f"v{i}" for i in range(60)]
+    rows = [(9, base), (4, base[:45] + ["x"] * 3), (7, base[:45] + ["x"] * 3), (5, ["far"] * 5 + [f"u{i}" for i in range(30)]), (6, ["short"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "id long, text string")
+    found = {r.id: (r.group_id, r.n_links) for r in near_duplicates.near_duplicate_groups({"t": df}).collect()}
+    assert found == {9: (4, 1), 4: (4, 1), 7: (4, 1), 5: (5, 0)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.near_duplicate_pairs({"t": spark.createDataFrame([], "id long, text string")}).count() == 0
 

@@ -82,4 +82,12 @@ SELECT doc_id, CAST(length(x) AS BIGINT) AS n_chars, CAST(len(words) AS BIGINT)
   len(list_filter(words, lambda v: v IN ({", ".join(f"'{c}'" for c in sorted(COMMON) if "'" not in c)}))) / nullif(len(words), 0) AS common_share
 FROM w"""
 
-SQL = {"p3_found": "SELECT DISTINCT id AS chunk_id FROM document_chunk WHERE length(content) > 2000", "p8_statistics": _STATISTICS}
+_PAIRS = """
+WITH t AS (SELECT 'document_chunk' AS table_name, id, content AS x FROM document_chunk UNION ALL SELECT 'code_unit', id, body FROM code_unit),
+w AS (SELECT DISTINCT table_name, id, words FROM (SELECT table_name, id, regexp_extract_all(regexp_replace(lower(x), '([\\x{4E00}-\\x{9FFF}])', ' \\1 ', 'g'), '[\\p{L}\\p{N}_]+') AS words FROM t) u WHERE len(words) >= 20),
+s AS (SELECT table_name, id, unnest(list_distinct(list_transform(list_zip(words, words[2:], words[3:], true), lambda p: p[1] || ' ' || p[2] || ' ' || p[3]))) AS g FROM w),
+n AS (SELECT table_name, id, count(*) AS n FROM s GROUP BY 1, 2),
+p AS (SELECT a.table_name, a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.table_name = b.table_name AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT p.table_name, id_a, id_b FROM p JOIN n a ON a.table_name = p.table_name AND a.id = id_a JOIN n b ON b.table_name = p.table_name AND b.id = id_b WHERE shared >= 0.5 * (a.n + b.n - shared)"""
+
+SQL = {"p1_found": _PAIRS, "p3_found": "SELECT DISTINCT id AS chunk_id FROM document_chunk WHERE length(content) > 2000", "p8_statistics": _STATISTICS}

@@ -50,7 +50,7 @@ _DANGLING = re.compile(r"\b(?:the|an?|of|to|and|from|or|with|for|at|by|as|was|we
 
 _LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _SYMBOL = re.compile(r"[^\w\s]")
-_STRAY = re.compile(r"[^\w\s.,!?;:'\"()`_-]")
+_STRAY = re.compile(r"[#$%&*+/<=>@\[\\\]^{|}~]")
 _TAGS = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|\w+://\S+")
 _CODE = re.compile(
     r"[;{}]\s*$|^\s*(?:def|class|func|function|async|return|raise|assert|import|from\s+\S+\s+import|public|private|protected|static|const|let|var|if\s*\(|for\s*\(|while\s*\(|elif|else:|try:|except|with\s.+:$|logger\.|log\.|console\.)\b.*[({:;=\[]"

@@ -76,7 +76,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """
     schema = "ids binary, matrix binary, dim int"
     wanted = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    q = wanted.coalesce(8).mapInArrow(_packed("query_id", "vector", QUERY_BLOCK), schema).toDF("q_ids", "q_matrix", "q_dim")
+    q = wanted.mapInArrow(_packed("query_id", "vector", QUERY_BLOCK), schema).toDF("q_ids", "q_matrix", "q_dim")
     size = q.agg(F.coalesce(F.sum(F.length("q_matrix")), F.lit(0))).first()[0]
     q = F.broadcast(q) if size <= BROADCAST_BYTES else q
     c = corpus.where(F.col("vector").isNotNull()).select("chunk_id", "vector").mapInArrow(_packed("chunk_id", "vector", CORPUS_BLOCK), schema).toDF("c_ids", "c_matrix", "c_dim")

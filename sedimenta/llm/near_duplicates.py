@@ -3,14 +3,15 @@
 1. Fingerprint. A text's set of word sequences gets ``POSITIONS`` min-hashes; position i of the fingerprint holds
    two bytes of the i-th. Two texts agree in a position with the probability of their Jaccard similarity.
 2. Inverted index. Posting lists are keyed by the bytes of a block of ``WIDTH`` neighbouring positions, because a
-   list for one byte of one position would hold 1/256 of all texts and its pairs would grow with the square.
+   list for one byte of one position would hold 1/256 of all texts and its pairs would grow with the square. The
+   positions lie in a grid whose rows and columns are both cut into blocks, so each serves in two of them.
    Postings travel as packed arrays, one row per task and slice of the key space, and each slice is sorted and
    read in one task. A posting names its text by 32 bits; texts that share them are told apart after the count
    filter, so this costs a few candidates and loses none. It also has the size of the text's set in eighths of a
    doubling: sets whose sizes differ by more than the threshold allows are not tallied.
 3. Count filter. The shared blocks of a pair are tallied over all slices. A pair at the threshold of one half
-   shares each block with probability 1/8: of 96 blocks it shares fewer than 3 (9 positions, 18 bytes) with
-   probability 3e-4, at a similarity of 0.55 with 5e-6. Fewer than that many matches drop the pair.
+   shares each of the 160 blocks with probability 1/16, 10 of them on average; it shares fewer than ``MIN_BLOCKS``
+   with probability 1e-3, at a similarity of 0.55 with 2e-5 (simulated). Fewer matches drop the pair.
 4. Verification. The exact similarity of the pairs that are left, from the whole texts.
 
 Texts with the same words are one class and enter the index once. A class of up to ``COPIES`` texts gives all
@@ -35,15 +36,18 @@ from sedimenta.llm.words import WordHashes, hashed_words, mix, shingles
 from sedimenta.operators.graph import components
 from sedimenta.sources import materialize
 
-BLOCKS, WIDTH = 96, 3
-POSITIONS = BLOCKS * WIDTH
-MIN_BLOCKS = 3
+GRID, WIDTH = (16, 20), 4  # positions lie in a grid; its rows and its columns are cut into blocks
+POSITIONS = GRID[0] * GRID[1]
+MIN_BLOCKS = 2
 COPIES = 64
 BATCH = 256  # texts whose sequences fit a core's cache
 BUFFER = 16_384  # texts whose postings are packed into one row a slice
 SLICE_POSTINGS = 4_000_000  # postings a task sorts at a time
 BROADCAST_IDS = 200_000
 
+_grid = np.arange(POSITIONS).reshape(GRID)
+BLOCK_POSITIONS = np.concatenate([_grid.reshape(-1, WIDTH), np.ascontiguousarray(_grid.T).reshape(-1, WIDTH)])
+BLOCKS = len(BLOCK_POSITIONS)
 _draw = np.random.default_rng(20_240_229)
 _XOR = _draw.integers(0, 1 << 32, POSITIONS, dtype=np.uint32)
 _ODD = _draw.integers(0, 1 << 32, POSITIONS, dtype=np.uint32) | np.uint32(1)
@@ -87,10 +91,9 @@ def fingerprints(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def block_keys(tag: int, prints: np.ndarray) -> np.ndarray:
     """(texts, BLOCKS) keys: a block's number and all its positional bytes."""
-    p = prints.reshape(len(prints), BLOCKS, WIDTH).astype(np.uint64)
-    key = np.broadcast_to((np.arange(BLOCKS, dtype=np.uint64) + np.uint64(tag * BLOCKS)) << np.uint64(48), p.shape[:2]).copy()
+    key = np.broadcast_to(mix(np.arange(1, BLOCKS + 1, dtype=np.uint64) + np.uint64(tag * BLOCKS)), (len(prints), BLOCKS)).copy()
     for k in range(WIDTH):
-        key |= p[:, :, k] << np.uint64(16 * k)
+        key ^= prints[:, BLOCK_POSITIONS[:, k]].astype(np.uint64) << np.uint64(16 * k)
     return mix(key)
 
 

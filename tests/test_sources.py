@@ -30,3 +30,13 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     files.upsert(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema), path, ["id"], ["at"])
     now = files.upsert(spark.createDataFrame([(2, 3, "c"), (1, 0, "late"), (3, 1, None)], schema), path, ["id"], ["at"])
     assert {tuple(r) for r in now.collect()} == {(1, 1, "a"), (2, 3, "c"), (3, 1, None)}
+
+
+def test_materialized_tables_lie_in_one_folder_and_go_together(spark):
+    from sedimenta.sources import clear_scratch, materialize, scratch_dir
+
+    assert scratch_dir(spark) == scratch_dir(spark)
+    kept = materialize(spark.range(3), "kept")
+    assert kept.count() == 3 and f"{scratch_dir(spark).removeprefix('file:').rstrip('/').lstrip('/')}/sedimenta-" in kept.inputFiles()[0]
+    clear_scratch(spark)
+    assert materialize(spark.range(2), "again").count() == 2

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sedimenta.sources import materialize
 
 QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
+TEXT_BLOCK, TEXT_CHARACTERS, PAIR_COLUMNS = 1024, 1 << 21, 4096
 BROADCAST_BYTES = 64 << 20
 
 
@@ -89,26 +90,125 @@ def bigrams(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), F.lit("(?s)(?=(..))"), F.lit(1))
 
 
-def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, common: float = 0.25) -> DataFrame:
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+
+
+def _pair_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The character pairs of all texts: the text's number and both code points in one integer."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    within = rows[:-1] == rows[1:]
+    return rows[:-1][within], (codes[:-1] << 21 | codes[1:])[within]
+
+
+def _asked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, keys = _pair_keys(batch.column("bare").to_pylist())
+        ids = np.asarray(batch.column("query_id").to_pylist(), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(keys)], ["query_id", "gram"])
+
+
+def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Ids and bare texts of at most ``TEXT_BLOCK`` chunks and, but for one longer text, ``TEXT_CHARACTERS`` characters."""
+    for batch in batches:
+        ids, texts = np.asarray(batch.column("chunk_id").to_pylist(), dtype=np.int64), batch.column("bare").to_pylist()
+        at = size = 0
+        for i, text in enumerate(texts):
+            if i > at and (i - at == TEXT_BLOCK or size + len(text) > TEXT_CHARACTERS):
+                yield ids[at:i], texts[at:i]
+                at, size = i, 0
+            size += len(text)
+        if texts:
+            yield ids[at:], texts[at:]
+
+
+def _held_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, df): in how many chunks of a block each pair stands."""
+    for _, texts in _text_blocks(batches):
+        rows, keys = _pair_keys(texts)
+        grams, held = np.unique(keys, return_inverse=True)
+        df = np.bincount(np.unique(rows * len(grams) + held) % max(len(grams), 1), minlength=len(grams))
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(df.astype(np.int64))], ["gram", "df"])
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of chunks: ids, sizes, distinct pairs, and each pair's count in a chunk as (row, position, tf)."""
+    for ids, texts in _text_blocks(batches):
+        rows, keys = _pair_keys(texts)
+        grams, held = np.unique(keys, return_inverse=True)
+        cells, tf = np.unique(rows * len(grams) + held, return_counts=True)
+        row, at = np.divmod(cells, max(len(grams), 1))
+        sizes = np.asarray([len(t) - 1 for t in texts], dtype=np.int64)
+        yield _as_row({"ids": ids, "sizes": sizes, "grams": grams, "rows": row.astype(np.int32), "at": at.astype(np.int32), "tf": tf.astype(np.int32)})
+
+
+def _packed_questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries: ids, distinct pairs, and each pair's idf in a query as (row, position, idf)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, QUERY_BLOCK):
+            part = batch.slice(start, QUERY_BLOCK).to_pydict()
+            grams, at = np.unique(np.concatenate([np.asarray(g, dtype=np.int64) for g in part["grams"]]), return_inverse=True)
+            row = np.repeat(np.arange(len(part["grams"]), dtype=np.int32), [len(g) for g in part["grams"]])
+            yield _as_row({"ids": np.asarray(part["query_id"], dtype=np.int64), "grams": grams, "rows": row, "at": at.astype(np.int32), "idf": np.concatenate([np.asarray(x, dtype=np.float64) for x in part["idf"]])})
+
+
+def _as_row(parts: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts.values()], list(parts))
+
+
+def _best_by_pairs(k: int, k1: float, b: float, mean_size: float):
+    kinds = {"q_ids": np.int64, "q_grams": np.int64, "q_rows": np.int32, "q_at": np.int32, "q_idf": np.float64, "c_ids": np.int64, "c_sizes": np.int64, "c_grams": np.int64, "c_rows": np.int32, "c_at": np.int32, "c_tf": np.int32}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                x = {name: np.frombuffer(batch.column(name)[n].as_buffer(), dtype=kind) for name, kind in kinds.items()}
+                shared, q_to, c_to = np.intersect1d(x["q_grams"], x["c_grams"], assume_unique=True, return_indices=True)
+                q_column, c_column = np.full(len(x["q_grams"]), -1), np.full(len(x["c_grams"]), -1)
+                q_column[q_to] = c_column[c_to] = np.arange(len(shared))
+                q_column, c_column = q_column[x["q_at"]], c_column[x["c_at"]]
+                weight = x["c_tf"] * (k1 + 1) / (x["c_tf"] + k1 * (1 - b + b * x["c_sizes"][x["c_rows"]] / mean_size))
+                score = np.zeros((len(x["q_ids"]), len(x["c_ids"])))
+                for first in range(0, len(shared), PAIR_COLUMNS):  # dense matrices of bounded width, whatever the alphabet
+                    width = min(PAIR_COLUMNS, len(shared) - first)
+                    q, c = np.zeros((len(x["q_ids"]), width)), np.zeros((len(x["c_ids"]), width))
+                    of_q, of_c = (q_column >= first) & (q_column < first + width), (c_column >= first) & (c_column < first + width)
+                    q[x["q_rows"][of_q], q_column[of_q] - first] = x["q_idf"][of_q]
+                    c[x["c_rows"][of_c], c_column[of_c] - first] = weight[of_c]
+                    score += q @ c.T
+                rounded = np.where(score > 0, np.round(score, 6), -1.0)
+                least = np.partition(rounded, -k, axis=1)[:, -k, None] if rounded.shape[1] > k else -1.0
+                qi, ci = np.nonzero((rounded >= least) & (score > 0))
+                order = np.lexsort((x["c_ids"][ci], -rounded[qi, ci], qi))
+                qi, ci = qi[order], ci[order]
+                kept = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+                qi, ci = qi[kept], ci[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(x["q_ids"][qi]), pa.array(x["c_ids"][ci]), pa.array(rounded[qi, ci])], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Keyword top-k of (query_id, text) against (chunk_id, text), BM25 over character bigrams.
 
-    Only grams of the queries reach the postings, and they are counted per chunk before they are shuffled. Grams in more
-    than ``common`` of all chunks carry no weight: they are what lets a join of postings grow with the square.
+    Every gram counts, however many chunks hold it. No postings are joined: blocks of queries meet blocks of chunks, and
+    their scores are a matrix product over the grams both hold. Each pair of blocks gives its best ``k`` per query, so
+    what is shuffled is k rows a query and block of chunks, and a gram that stands in every chunk is one column like any.
     """
-    # written once: with its size known, Catalyst broadcasts it where it is small and shuffles where it isn't
-    asked = materialize(queries.select("query_id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram")), "asked")
-    bare = F.regexp_replace(F.lower(F.col("text")), r"[^\p{L}\p{N}]", "")
-    sizes = corpus.select((F.length(bare) - 1).alias("size")).where("size > 0")
-    totals = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
-    # partitioned by chunk before the grams are exploded, so that texts are shuffled and grams are not
-    grams = corpus.repartition("chunk_id").select("chunk_id", bigrams(F.col("text")).alias("grams")).select("chunk_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    counted = grams.groupBy("chunk_id", "size", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    postings = materialize(counted.join(asked.select("gram").distinct(), "gram", "left_semi"), "postings")
-    known = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals)).where(F.col("df") <= F.col("n") * common)  # totals: one row
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
-    scored = asked.join(known, "gram").join(postings, "gram").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top_k(scored, k)
+    asked = queries.where(F.col("text").isNotNull()).select("query_id", _bare(F.col("text")).alias("bare")).mapInArrow(_asked_pairs, "query_id long, gram long").distinct()
+    # spread before the scan's few partitions meet all query blocks, and written once as it is read three times
+    texts = materialize(corpus.select("chunk_id", _bare(F.col("text")).alias("bare")).where("length(bare) > 1").repartition("chunk_id"), "texts")
+    n, mean_size = texts.agg(F.count(F.lit(1)), F.avg(F.length("bare") - 1)).first()
+    held = texts.mapInArrow(_held_pairs, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = asked.join(held, "gram").groupBy("query_id").agg(F.collect_list(F.struct("gram", idf.alias("idf"))).alias("g")).select("query_id", F.col("g.gram").alias("grams"), F.col("g.idf").alias("idf"))
+    q = materialize(known.mapInArrow(_packed_questions, "ids binary, grams binary, rows binary, at binary, idf binary").toDF("q_ids", "q_grams", "q_rows", "q_at", "q_idf"), "questions")
+    size = q.agg(F.coalesce(F.sum(sum(F.length(c) for c in q.columns)), F.lit(0))).first()[0]
+    q = F.broadcast(q) if size <= BROADCAST_BYTES else q
+    c = texts.mapInArrow(_packed_texts, "ids binary, sizes binary, grams binary, rows binary, at binary, tf binary").toDF("c_ids", "c_sizes", "c_grams", "c_rows", "c_at", "c_tf")
+    best = c.crossJoin(q).mapInArrow(_best_by_pairs(k, k1, b, mean_size or 1.0), "query_id long, chunk_id long, score double")
+    return top_k(best, k)
 
 
 def words(text: Column) -> Column:

@@ -163,12 +163,12 @@ def nodes_synced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a question's words of five letters or more that its best five keyword hits contain."""
+    """Share of a question's words of five letters or more that its best five keyword hits contain; 0 without a hit."""
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^a-z]+", " "), " "), lambda w: F.length(w) >= 5))
     expected = asked(spark, d).select("query_id", words.alias("expected")).where("size(expected) > 0")
     shown = keyword_top_k(spark, d).where("rank <= 5").join(live_chunks(spark, d).select(F.col("id").alias("chunk_id"), "content"), "chunk_id").groupBy("query_id").agg(F.lower(F.array_join(F.collect_list("content"), " ")).alias("shown"))
-    share = F.size(F.filter("expected", lambda w: F.contains(F.col("shown"), w))) / F.size("expected")
-    return expected.join(shown, "query_id").select("query_id", F.round(share, 6).alias("coverage"), (share >= 0.3).alias("hit"))
+    share = F.size(F.filter("expected", lambda w: F.contains(F.coalesce("shown", F.lit("")), w))) / F.size("expected")
+    return expected.join(shown, "query_id", "left").select("query_id", F.round(share, 6).alias("coverage"), (share >= 0.3).alias("hit"))
 
 
 def embedded_code(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,9 @@ the shared folder, which keeps plans short and survives lost executors.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from sedimenta.sources import materialize
 
 #: How much of a score a relation passes on.
 WEIGHTS = {"REFERENCES": 0.8, "DEPENDS_ON": 0.7, "EXTENDS": 0.6, "SEQUEL_TO": 0.5}
+MERGED = 8
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -26,22 +30,30 @@ def upsert(edges: DataFrame, changes: DataFrame) -> DataFrame:
     return edges.unionByName(changes).groupBy("src", "dst", "type").agg(F.max("created_at").alias("created_at"))
 
 
-def reach(sources: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+def reach(sources: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
     """(source, node, hops, types): nodes within ``hops`` of each source in the edges' direction, at their least number
-    of hops, with the types on the shortest paths. The source itself is left out; cycles end by themselves."""
+    of hops, with the types on the shortest paths. The source itself is left out; cycles end by themselves.
+
+    Without ``hops`` the search goes on until no source reaches a new node. What was seen in ``MERGED`` rounds is then
+    written as one, and so on up, so that the plan of a long chain stays short and a row is rewritten seldom.
+    """
     steps = edges.groupBy("src", "dst").agg(F.collect_set("type").alias("step"))
     frontier = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.array().cast("array<string>").alias("types")).distinct()
-    seen = frontier
-    for h in range(1, hops + 1):
+    parts = [(0, frontier)]
+    for h in itertools.count(1) if hops is None else range(1, hops + 1):
+        seen = functools.reduce(DataFrame.unionByName, (part for _, part in parts))
         met = frontier.join(steps, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.array_union("types", "step").alias("types"))
         once = met.groupBy("source", "node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"))
         frontier = once.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(h).alias("hops"), "types")
-        if hops > 2:
+        if hops is None or hops > 2:
             frontier = materialize(frontier, "frontier")
             if frontier.isEmpty():
                 break
-        seen = seen.unionByName(frontier)
-    return seen.where("hops > 0")
+        parts.append((0, frontier))
+        while hops is None and len(parts) > MERGED and parts[-1][0] == parts[-MERGED][0]:
+            merged = functools.reduce(DataFrame.unionByName, (part for _, part in parts[-MERGED:]))
+            parts[-MERGED:] = [(parts[-1][0] + 1, materialize(merged, "seen"))]
+    return functools.reduce(DataFrame.unionByName, (part for _, part in parts)).where("hops > 0")
 
 
 def direction(source_level: str, level: str):

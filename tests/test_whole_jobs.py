@@ -35,3 +35,32 @@ def test_keyword_queries_equal_sql_over_all_pairs(spark, name):
     assert whole != sql
     ours, theirs, a, b = differences(spark, duck(DATA), DATA, registry.queries()[name], whole)
     assert ours == theirs and not a and not b, (a, b)
+
+
+def points_of(spark, folder, prerequisites):
+    rows = spark.createDataFrame([(i, f"p{i}", level, names) for i, level, names in prerequisites], "id long, title string, difficulty_level int, prerequisite_ids string")
+    rows.withColumn("created_at", F.lit("2025-01-01").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{folder}/knowledge_point.parquet")
+    return str(folder)
+
+
+def test_paths_go_to_every_node_and_ten_hops(spark, tmp_path):
+    d = points_of(spark, tmp_path, [(20 + i, 1, f"[{21 + i}]" if i < 12 else None) for i in range(13)])
+    assert {(r.source, r.node, r.hops) for r in registry.queries()["graph_paths"](spark, d).collect()} == {(20, 20 + i, i) for i in range(1, 11)}
+
+
+def test_lineage_ends_where_the_chain_ends(spark, tmp_path):
+    chain = [4 * i + 1 for i in range(67)]  # all DEPENDS_ON
+    d = points_of(spark, tmp_path, [(n, 3 if n == 1 else 2 if n < chain[-1] else 1, f"[{n + 4}]" if n < chain[-1] else None) for n in chain])
+    found = {(r.source, r.node): r.hops for r in registry.queries()["graph_upstream"](spark, d).collect()}
+    assert found == {(1, n): i for i, n in enumerate(chain) if i} | {(n, chain[-1]): 66 - i for i, n in enumerate(chain[1:-1], 1)}
+
+
+@with_data
+@pytest.mark.parametrize("name, cuts", [("question_terms", ["doc_id % 20 = 0 AND "]), ("graph_paths", [" AND node % 50 = 0"]), ("graph_upstream", [" WHERE id % 5 = 0"]), ("graph_downstream", [" WHERE id % 5 = 0"])])
+def test_queries_over_all_ids_equal_sql_over_all_ids(spark, name, cuts):
+    whole = registry.oracle_sql()[name].replace("WHERE hops < 6", "WHERE hops < 10")
+    for cut in cuts:
+        assert cut in whole
+        whole = whole.replace(cut, "")
+    ours, theirs, a, b = differences(spark, duck(DATA), DATA, registry.queries()[name], whole)
+    assert ours == theirs and not a and not b, (a, b)

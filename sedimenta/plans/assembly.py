@@ -14,6 +14,9 @@ from sedimenta.plans.retrieval_ranking import _CODE_TERMS, ASKED, CORPUS, PT, VE
 from sedimenta.plans.text_code import CHUNKS, EDGES, NOW, UNITS, chunks_once, documents_now, live_chunks, units_once
 from sedimenta.sources import load
 
+#: Characters of a name by which it is joined to the calls that may hold it.
+HEAD = 4
+
 
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     """Fields of JSON payloads by the first path that has them."""
@@ -66,9 +69,11 @@ def claims_supported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cited_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the first 30 characters of a chunk's successor in its document are quoted in it (a verbatim check)."""
+    """Whether the first 30 characters of a chunk's successor in its document are quoted in it (a verbatim check).
+
+    Chunks without content are passed over; a shorter successor is looked for as a whole."""
     after = Window.partitionBy("doc_id").orderBy(F.coalesce("seq", F.lit(-1)), "id")
-    c = chunks_once(spark, d).where("doc_id IS NOT NULL AND length(content) > 60").withColumn("excerpt", F.substring(F.lead("content").over(after), 1, 12))
+    c = chunks_once(spark, d).where("doc_id IS NOT NULL AND length(content) > 0").withColumn("excerpt", F.substring(F.lead("content").over(after), 1, 30))
     return c.where("excerpt IS NOT NULL").select("id", F.contains("content", "excerpt").alias("verbatim"))
 
 
@@ -110,11 +115,22 @@ def call_graph_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def callers_by_substring(spark: SparkSession, d: str) -> DataFrame:
-    """Callers within a project whose call texts contain the method's name anywhere (over-matching by design)."""
+    """Callers within a project whose call texts contain the method's name anywhere (over-matching by design).
+
+    A name stands in a call only if its first ``HEAD`` characters do: distinct names meet distinct calls of a project by
+    those, and only pairs that hold are widened to units and callers. The distinct heads of all names are few, so
+    they are broadcast to drop the other windows of a call before it is shuffled."""
     units = units_once(spark, d)
-    asked_for = units.where("id % 20 = 0 AND length(method_name) > 0").select("project_id", F.col("id").alias("unit_id"), F.lower(F.regexp_extract("method_name", "^[a-z]+", 0)).alias("m")).where("m != ''")
-    calls = units.select("project_id", F.col("id").alias("caller_id"), F.explode("calls").alias("call"))
-    return asked_for.join(calls, "project_id").where(F.contains(F.lower("call"), "m") & (F.col("unit_id") != F.col("caller_id"))).select("unit_id", "caller_id").distinct()
+    asked_for = units.where("id % 20 = 0 AND length(method_name) > 0").select("project_id", F.col("id").alias("unit_id"), F.lower("method_name").alias("m"))
+    calls = units.select("project_id", F.col("id").alias("caller_id"), F.explode("calls").alias("call")).select("project_id", "caller_id", F.lower("call").alias("call")).distinct()
+    names = asked_for.select("project_id", "m", F.substring("m", 1, HEAD).alias("head")).distinct()
+    heads = names.select("head").distinct()
+    lengths = F.array(*[F.lit(r.n) for r in heads.select(F.length("head").alias("n")).distinct().collect()]).cast("array<int>")
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.length("call")), lambda i: F.transform(lengths, lambda n: F.substring(F.col("call"), i, n))))
+    texts = calls.where("length(call) > 0").select("project_id", "call").distinct().select("project_id", "call", F.explode(F.array_distinct(windows)).alias("head")).join(F.broadcast(heads), "head", "left_semi")
+    held = names.join(texts, ["project_id", "head"]).where(F.contains("call", "m")).select("project_id", "m", "call")
+    wide = held.join(asked_for, ["project_id", "m"]).join(calls, ["project_id", "call"])
+    return wide.where(F.col("unit_id") != F.col("caller_id")).select("unit_id", "caller_id").distinct()
 
 
 def units_from_two_indexes(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oracle import differences, duck
 from sedimenta.operators import retrieval
-from sedimenta.plans import registry
+from sedimenta.plans import assembly, registry
 
 DATA = "/root/testdata/sf0.001"
 with_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
@@ -64,3 +64,22 @@ def test_queries_over_all_ids_equal_sql_over_all_ids(spark, name, cuts):
         whole = whole.replace(cut, "")
     ours, theirs, a, b = differences(spark, duck(DATA), DATA, registry.queries()[name], whole)
     assert ours == theirs and not a and not b, (a, b)
+
+
+@with_data
+@pytest.mark.parametrize("name, cuts", [
+    ("callers_by_substring", {"lower(regexp_extract(method_name, '^[a-z]+', 0))": "lower(method_name)"}), ("cited_excerpts", {"1, 12)": "1, 30)", "length(content) > 60": "length(content) > 0"}),
+])
+def test_queries_over_whole_texts_equal_sql_over_whole_texts(spark, name, cuts):
+    whole = registry.oracle_sql()[name]
+    for cut, full in cuts.items():
+        assert cut in whole
+        whole = whole.replace(cut, full)
+    ours, theirs, a, b = differences(spark, duck(DATA), DATA, registry.queries()[name], whole)
+    assert ours == theirs and not a and not b, (a, b)
+
+
+def test_callers_of_any_name_by_its_whole_text(spark, monkeypatch):
+    rows = [(20, 1, "getUserById", []), (40, 1, "_Do", []), (60, 1, "go", []), (1, 1, "a", ["x.GETUSERBYIDS()", "x.getUser()"]), (2, 1, "b", ["this._do(1)", "let.it.go"]), (3, 2, "c", ["getUserById()"]), (5, 1, "d", ["get()", ""])]
+    monkeypatch.setattr(assembly, "units_once", lambda *_: spark.createDataFrame(rows, "id long, project_id long, method_name string, calls array<string>"))
+    assert {tuple(r) for r in assembly.callers_by_substring(spark, "").collect()} == {(20, 1), (40, 2), (60, 2)}

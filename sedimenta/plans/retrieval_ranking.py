@@ -194,13 +194,27 @@ def _qrels(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).where("id % 20 = 0 AND source_question IS NOT NULL").select(F.col("id").alias("query_id"), F.explode(integers_in("chunk_ids")).alias("item"))
 
 
+def _without_itself(hits: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of k + 1 hits without the asking row: (query_id, chunk_id, score, rank)."""
+    return retrieval.top_k(hits.where("query_id != chunk_id").drop("rank"), k)
+
+
+def _same_label(spark: SparkSession, d: str) -> DataFrame:
+    """Expected items, apart from any run: the ten nearest rows of the asking row's label, without itself."""
+    every = load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    found = every.limit(0).select(F.col("chunk_id").alias("query_id"), F.col("chunk_id").alias("item"))
+    for row in every.where("label IS NOT NULL").select("label").distinct().orderBy("label").collect():  # one row a label
+        own = every.where(F.col("label") == row.label)
+        near = retrieval.dense_top_k(own.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), own, 11)
+        found = found.union(_without_itself(near, 10).select("query_id", "chunk_id"))
+    return materialize(found, "expected")
+
+
 def eval_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Expected: the ten nearest points of the same label; retrieved: the dense hits."""
-    labels = load(spark, d, "embeddings").select("vec_id", "label")
-    runs = dense_top_k(spark, d).select("query_id", "rank", F.col("chunk_id").alias("item"))
-    own = runs.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("lq")), "query_id").join(labels.select(F.col("vec_id").alias("item"), "label"), "item")
-    qrels = own.where("lq = label AND rank % 2 = 1").select("query_id", "item").union(_qrels(spark, d))
-    return evaluation.query_metrics(runs, qrels)
+    """Expected: the ten nearest points of the same label and the chunks a point names; retrieved: the dense hits. Neither
+    holds the asking point itself."""
+    runs = _without_itself(_dense(spark, d, 9), 8).select("query_id", "rank", F.col("chunk_id").alias("item"))
+    return evaluation.query_metrics(runs, _same_label(spark, d).union(_qrels(spark, d).where("query_id != item")).distinct())
 
 
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -208,10 +222,8 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_grid(spark: SparkSession, d: str) -> DataFrame:
-    labels = load(spark, d, "embeddings").select("vec_id", "label")
-    runs = materialize(_dense(spark, d, 12).withColumnRenamed("chunk_id", "item"), "runs")
-    own = runs.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("lq")), "query_id").join(labels.select(F.col("vec_id").alias("item"), "label"), "item")
-    return evaluation.grid_search(runs, own.where("lq = label").select("query_id", "item"), evaluation.grid(spark, [4, 8, 12], [2, 4, 6], [0.5, 0.7, 0.9]))
+    runs = materialize(_without_itself(_dense(spark, d, 13), 12).withColumnRenamed("chunk_id", "item"), "runs")
+    return evaluation.grid_search(runs, _same_label(spark, d), evaluation.grid(spark, [4, 8, 12], [2, 4, 6], [0.5, 0.7, 0.9]))
 
 
 def eval_best(spark: SparkSession, d: str) -> DataFrame:

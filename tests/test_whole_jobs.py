@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oracle import differences, duck
 from sedimenta.operators import retrieval
-from sedimenta.plans import assembly, registry
+from sedimenta.plans import assembly, registry, retrieval_ranking
 
 DATA = "/root/testdata/sf0.001"
 with_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
@@ -83,3 +83,14 @@ def test_callers_of_any_name_by_its_whole_text(spark, monkeypatch):
     rows = [(20, 1, "getUserById", []), (40, 1, "_Do", []), (60, 1, "go", []), (1, 1, "a", ["x.GETUSERBYIDS()", "x.getUser()"]), (2, 1, "b", ["this._do(1)", "let.it.go"]), (3, 2, "c", ["getUserById()"]), (5, 1, "d", ["get()", ""])]
     monkeypatch.setattr(assembly, "units_once", lambda *_: spark.createDataFrame(rows, "id long, project_id long, method_name string, calls array<string>"))
     assert {tuple(r) for r in assembly.callers_by_substring(spark, "").collect()} == {(20, 1), (40, 2), (60, 2)}
+
+
+def test_expected_items_do_not_come_from_the_run(spark, tmp_path):
+    far = [(40 + i, [0.1, 1.0 + i], 1) for i in range(1, 12)]  # of the asking row's label, behind the others
+    rows = [(20, [1.0, 0.0], 1)] + [(i, [1.0, i / 100], 2) for i in range(1, 9)] + far
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "id long, source_question string, chunk_ids string").coalesce(1).write.parquet(f"{tmp_path}/knowledge_point.parquet")
+    found = registry.queries()["eval_queries"](spark, str(tmp_path)).collect()
+    assert [(r.query_id, r.hit8, r.recall8, r.rr) for r in found] == [(20, 0.0, 0.0, 0.0)]
+    assert {r.item for r in retrieval_ranking._same_label(spark, str(tmp_path)).collect()} == {r[0] for r in far[:10]}
+    assert {(r.hit8, r.recall8) for r in registry.queries()["eval_grid"](spark, str(tmp_path)).collect()} == {(0.0, 0.0)}

@@ -1,9 +1,11 @@
 """References whose target is missing, deleted, or younger than the record that refers to it.
 
-Parent keys are sorted and compressed into runs of consecutive integers; a run carries, by position, when each
-of its keys was created and whether it is deleted. A referenced key is matched as of the last run that starts
-at or before it: beyond the run's end there is no such parent. Runs and keys meet in windows over buckets of
-``BUCKET`` consecutive keys, so no task sees more than a bucket at once.
+Parent keys are sorted and compressed into runs of consecutive integers, which carry nothing but their bounds. A
+referenced key is matched as of the last run that starts at or before it: beyond the run's end there is no such
+parent. Runs are cut at buckets of ``BUCKET`` consecutive keys, and a bucket's runs are one row, so dense keys shrink
+to a row for every ``BUCKET`` of them, the match is an equi-join by bucket that Spark broadcasts where it measures
+that the runs are small, and a key looks at half a bucket of runs at most. Whether a parent that exists is deleted
+or younger is then read by an equi-join on the key, in the partitioning that the distinct keys already have.
 
 References are reduced to distinct keys before they are matched, so a key named by a third of all rows is
 matched once. Only keys that can give a finding are joined back to the referring rows, with the rows salted.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 4096
+BUCKET = 256
 SALTS = 16
 
 
@@ -31,26 +33,19 @@ def integers_in(text: str):
 
 
 def key_runs(parents: DataFrame) -> DataFrame:
-    """(bucket, run_start, run_end, facts) from unique (key, created_at, gone)."""
-    bucket = F.floor(F.col("key") / BUCKET)
+    """(bucket, runs) from unique (key): the runs of consecutive keys in a bucket, as (run_start, run_end) in order."""
     ordered = Window.partitionBy("bucket").orderBy("key")
-    return (
-        parents.withColumn("bucket", bucket)
-        .withColumn("run", F.col("key") - F.row_number().over(ordered))
-        .groupBy("bucket", "run")
-        .agg(F.min("key").alias("run_start"), F.max("key").alias("run_end"), F.sort_array(F.collect_list(F.struct("key", "created_at", "gone"))).alias("facts"))
-        .drop("run")
-    )
+    numbered = parents.select(F.floor(F.col("key") / BUCKET).alias("bucket"), "key").withColumn("run", F.col("key") - F.row_number().over(ordered))
+    runs = numbered.groupBy("bucket", "run").agg(F.min("key").alias("run_start"), F.max("key").alias("run_end"))
+    return runs.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("run_start", "run_end"))).alias("runs"))
 
 
 def match_as_of(keys: DataFrame, runs: DataFrame) -> DataFrame:
-    """For each distinct key: the facts of the parent, or nulls where the key lies beyond the preceding run's end."""
-    points = keys.select(F.floor(F.col("key") / BUCKET).alias("bucket"), F.col("key").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(runs.schema["run_end"].dataType).alias("run_end"), F.lit(None).cast(runs.schema["facts"].dataType).alias("facts"), F.col("oldest"))
-    starts = runs.select("bucket", F.col("run_start").alias("at"), F.lit(0).alias("kind"), "run_end", "facts", F.lit(None).cast(keys.schema["oldest"].dataType).alias("oldest"))
-    before = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = F.last(F.when(F.col("kind") == 0, F.struct(F.col("at").alias("run_start"), "run_end", "facts")), ignorenulls=True).over(before)
-    hit = F.when(F.col("at") <= F.col("run.run_end"), F.get(F.col("run.facts"), (F.col("at") - F.col("run.run_start")).cast("int")))
-    return starts.unionByName(points).withColumn("run", run).where("kind = 1").select(F.col("at").alias("key"), "oldest", hit.alias("parent"))
+    """Adds ``present`` to each distinct key: it doesn't lie beyond the end of the last run that starts at or before it."""
+    before = F.filter("runs", lambda r: r["run_start"] <= F.col("key"))
+    held = F.coalesce(F.element_at(F.when(F.size(before) > 0, before), -1)["run_end"] >= F.col("key"), F.lit(False))
+    joined = keys.withColumn("bucket", F.floor(F.col("key") / BUCKET)).join(runs, "bucket", "left")
+    return joined.withColumn("present", held).drop("bucket", "runs")
 
 
 def broken_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -59,16 +54,20 @@ def broken_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     ``refs``: table_name, field, row_id, ref_key, ref_created_at. ``parents``: key, created_at, gone; unique keys.
     """
     refs = refs.where(F.col("ref_key").isNotNull())
+    parents = parents.where(F.col("key").isNotNull())
     keys = refs.groupBy(F.col("ref_key").alias("key")).agg(F.min("ref_created_at").alias("oldest"))
-    matched = match_as_of(keys, key_runs(parents.where(F.col("key").isNotNull())))
-    suspect = matched.where(F.col("parent").isNull() | F.col("parent.gone") | (F.col("parent.created_at") > F.col("oldest")))
-    suspect = suspect.select("key", "parent", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    matched = match_as_of(keys, key_runs(parents.select("key")))
+    # the times and marks of the parents there are: an equi-join of the keys inside a run
+    wide = matched.join(parents.select("key", "created_at", "gone"), "key", "left")
+    suspect = wide.where(~F.col("present") | F.col("gone") | (F.col("created_at") > F.col("oldest"))).select("key", "present", "created_at", "gone")
+    suspect = suspect.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = refs.withColumn("salt", F.pmod(F.xxhash64("table_name", "row_id"), F.lit(SALTS)).cast("int"))
-    reason = F.when(F.col("parent").isNull(), "missing").when(F.col("parent.gone"), "deleted").when(F.col("parent.created_at") > F.col("ref_created_at"), "later")
+    reason = F.when(~F.col("present"), "missing").when(F.col("gone"), "deleted").when(F.col("created_at") > F.col("ref_created_at"), "later")
     return (
         salted.join(suspect, (salted["ref_key"] == suspect["key"]) & (salted["salt"] == suspect["salt"]))
-        .select("table_name", "field", "row_id", "ref_key", F.col("ref_created_at").alias("created_at"), reason.alias("reason"))
+        .select("table_name", "field", "row_id", "ref_key", "ref_created_at", reason.alias("reason"))
         .where(F.col("reason").isNotNull())
+        .withColumnRenamed("ref_created_at", "created_at")
     )
 
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.sources import materialize
+
 TILE_DAYS = 64
 BLOCK_TILES = 2048
 
@@ -71,8 +73,8 @@ def _multiply(n_amounts: int, windows: Sequence[int], tile: int, halo: int, bloc
         first, last, start = (np.full(size, fill, dtype=np.int64) for fill in (1, 0, 0))
         first[group[span]], last[group[span]] = rows["first"][span].astype(np.int64), rows["last"][span].astype(np.int64)
         start[group] = rows["tile"].to_numpy(np.int64) * tile
-        entity = np.empty(size, dtype=np.int64)
-        entity[group] = rows["entity"].to_numpy(np.int64)
+        entity = np.empty(size, dtype=object if rows["entity"].dtype == object else rows["entity"].dtype)
+        entity[group] = rows["entity"].to_numpy()
         fact = ~span
         at = (group[fact], rows["day"][fact].astype(np.int64).to_numpy() - start[group[fact]] + halo)
         dense = []
@@ -109,9 +111,10 @@ def trailing_totals(
 ) -> DataFrame:
     """Per entity and day from its first to its last: rows on the day, and per amount and window the total and daily average."""
     halo = max(windows) - 1
-    daily = daily_totals(df, entity, ts, amounts, record_id)
+    daily = materialize(daily_totals(df, entity, ts, amounts, record_id), "daily")  # read as facts and as spans
     packed = _tiles(daily, len(amounts), tile_days, halo).repartition(F.col("entity"), F.col("tile")).sortWithinPartitions("entity", "tile")
-    schema = "entity long, day int, n_rows long, " + ", ".join(f"t{i}_{w} long" for w in windows for i in range(len(amounts)))
+    kind = daily.schema["entity"].dataType.simpleString()
+    schema = f"entity {kind}, day int, n_rows long, " + ", ".join(f"t{i}_{w} long" for w in windows for i in range(len(amounts)))
     result = packed.mapInPandas(_multiply(len(amounts), windows, tile_days, halo, block_tiles), schema)
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), "yyyy-MM-dd")
     columns = [F.col("entity").alias(entity), day.alias("day"), "n_rows"]

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: k, cut and floor that a search has unless told otherwise.
+BASELINE = (8, 4, 0.7)
+
+
 def query_metrics(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     """Hit@4, hit@8, recall@8, reciprocal rank and precision@4 of (query_id, rank, item) against (query_id, item).
 
@@ -33,8 +37,8 @@ def summary(metrics: DataFrame, *keys: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, ks: Sequence[int], cuts: Sequence[int], floors: Sequence[float]) -> DataFrame:
-    """Parameter combinations; a cut above its k is left out. As many rows as the lists make, so it may be broadcast."""
-    rows = [(f"k{k}-n{n}-f{f}", k, n, f) for k in ks for n in cuts for f in floors if n <= k]
+    """The defaults as ``baseline`` and all combinations; a cut above its k is left out. As many rows as the lists make."""
+    rows = [("baseline", *BASELINE)] + [(f"k{k}-n{n}-f{f}", k, n, f) for k in ks for n in cuts for f in floors if n <= k]
     return spark.createDataFrame(rows, "label string, k int, cut int, floor double")
 
 

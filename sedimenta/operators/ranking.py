@@ -153,6 +153,16 @@ def merge_best(first: DataFrame, second: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")))
 
 
+def correct(hits: DataFrame, retry: DataFrame, share: float = 0.3) -> DataFrame:
+    """The corrective step on (query_id, chunk_id, score, rank, source): hits of high confidence stay, those of medium are
+    merged with the retried search's, those of low are dropped; then noise goes."""
+    judged = verdicts(hits).select("query_id", "verdict")
+    kept = hits.join(judged.where("verdict != 'LOW'"), "query_id", "left_semi")
+    again = retry.join(judged.where("verdict = 'MEDIUM'"), "query_id", "left_semi")
+    best = drop_noise(merge_best(kept, again).drop("rank"), share)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")))
+
+
 def confidence(dense: DataFrame, keyword: DataFrame, role: float = 1.0) -> DataFrame:
     """Per query: best dense score x lead over the second x share of dense hits whose document the keywords confirm."""
     confirmed = keyword.select("query_id", "doc_id").distinct().withColumn("yes", F.lit(1))

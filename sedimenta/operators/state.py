@@ -23,19 +23,20 @@ def attempts_in_window(df: DataFrame, keys: Sequence[str], ts: str, seconds: int
     return df.withColumn("attempts", F.count(F.lit(1)).over(recent))
 
 
-def limit_rate(df: DataFrame, key: str, ts: str, record: str, capacity: int, seconds: int) -> DataFrame:
+def limit_rate(df: DataFrame, keys: str | Sequence[str], ts: str, record: str, capacity: int, seconds: int) -> DataFrame:
     """The exact sliding-window limiter: a row is accepted if fewer than ``capacity`` accepted rows lie in the window.
 
     Only accepted rows count, which no window function can say. Rows are sorted within partitions by key and time and
     folded in one pass; the fold keeps at most ``capacity`` times of the current key, so a hot key needs no memory.
     """
-    window = seconds * 1_000_000
+    window, keys = seconds * 1_000_000, [keys] if isinstance(keys, str) else list(keys)
+    parts = [f"k{i}" for i in range(len(keys))]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = object(), []
         for rows in batches:
             verdicts = []
-            for k, at in zip(rows["k"], rows["at"]):
+            for *k, at in zip(*(rows[p] for p in parts), rows["at"]):
                 if k != current:
                     current, accepted = k, []
                 while accepted and accepted[0] <= at - window:
@@ -46,16 +47,15 @@ def limit_rate(df: DataFrame, key: str, ts: str, record: str, capacity: int, sec
                 verdicts.append(allowed)
             yield pd.DataFrame({record: rows[record], "allowed": verdicts})
 
-    rows = df.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), micros(ts).alias("at"), record)
+    rows = df.where(F.col(ts).isNotNull()).dropna(subset=keys).select(*[F.col(k).alias(p) for k, p in zip(keys, parts)], micros(ts).alias("at"), record)
     kind = rows.schema[record].dataType.simpleString()
-    return rows.repartition("k").sortWithinPartitions("k", "at", record).mapInPandas(fold, f"{record} {kind}, allowed boolean")
+    return rows.repartition(*parts).sortWithinPartitions(*parts, "at", record).mapInPandas(fold, f"{record} {kind}, allowed boolean")
 
 
 def first_claims(df: DataFrame, keys: Sequence[str], ts: str, record: str, ttl_seconds: int) -> DataFrame:
-    """Idempotency claims: a row wins if its key has no row in the ``ttl_seconds`` before it."""
-    order = Window.partitionBy(*keys).orderBy(ts, record)
-    gap = micros(ts) - F.lag(micros(ts)).over(order)
-    return df.withColumn("claimed", F.coalesce(gap > ttl_seconds * 1_000_000, F.lit(True)))
+    """Idempotency claims (record, claimed): a row wins if no earlier winner of its key is younger than ``ttl_seconds``.
+    A refused row doesn't prolong the claim."""
+    return limit_rate(df, keys, ts, record, 1, ttl_seconds).withColumnRenamed("allowed", "claimed")
 
 
 def once(df: DataFrame, keys: Sequence[str], ts: str, record: str) -> DataFrame:

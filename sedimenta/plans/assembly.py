@@ -215,7 +215,7 @@ SQL = {
     "question_routes": f"""WITH {PT}, x AS (SELECT id, lower(coalesce(source_question, title)) AS q FROM pt) SELECT id, CASE WHEN contains(q, 'code') THEN 'code' WHEN contains(q, 'doc') THEN 'doc' WHEN contains(q, 'both') THEN 'both' ELSE 'unknown' END AS route,
  CASE WHEN contains(q, 'method') THEN 'method' WHEN contains(q, 'caller') THEN 'caller' WHEN contains(q, 'implement') THEN 'implement' WHEN contains(q, 'logic') THEN 'logic' WHEN contains(q, 'index') THEN 'index' ELSE 'other' END AS intent FROM x""",
     "level_from_text": f"WITH {NOW} SELECT id, CASE WHEN level BETWEEN 1 AND 5 THEN level ELSE 0 END AS level FROM now",
-    "cited_excerpts": f"WITH {CHUNKS}, c AS (SELECT id, content, substring(lead(content) OVER (PARTITION BY doc_id ORDER BY coalesce(seq, -1), id), 1, 12) AS e FROM ch WHERE doc_id IS NOT NULL AND length(content) > 60) SELECT id, contains(content, e) AS verbatim FROM c WHERE e IS NOT NULL",
+    "cited_excerpts": f"WITH {CHUNKS}, c AS (SELECT id, content, substring(lead(content) OVER (PARTITION BY doc_id ORDER BY coalesce(seq, -1), id), 1, 30) AS e FROM ch WHERE doc_id IS NOT NULL AND length(content) > 0) SELECT id, contains(content, e) AS verbatim FROM c WHERE e IS NOT NULL",
     "strict_verified": f"""WITH {ASKED}, {CORPUS}, kw AS ({_keyword_sql(8)}), x AS MATERIALIZED (SELECT kw.*, file_name, corpus.text AS content, {_CODE_TERMS.format(c="asked.text")} AS terms FROM kw JOIN asked USING (query_id) JOIN corpus USING (chunk_id)),
  y AS (SELECT query_id, chunk_id, floor((0.4 * least(1.0, score / 200) + 0.25 * {_SHARE.format(c="file_name")} + 0.15 * {_SHARE.format(c="file_name")} + 0.1 * {_SHARE.format(c="content")} + 0.1 * greatest(0, 1 - (rank - 1) / 10)) * 10000 + 0.5) / 10000 AS strict FROM x) SELECT *, strict >= 0.3 AS passed FROM y""",
     "hits_added": f"""WITH {VEC}, a AS ({_dense_sql(4, 'level IN (1, 2)')}), b AS ({_dense_sql(6)}), u AS (SELECT *, 1 AS round FROM a UNION ALL SELECT *, 2 FROM b), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round, rank) AS r FROM u)
@@ -224,7 +224,7 @@ SQL = {
  b AS (SELECT query_id, first(chunk_id ORDER BY score DESC, chunk_id) AS entry FROM a GROUP BY 1) SELECT vec_id AS query_id, entry FROM vec LEFT JOIN b ON b.query_id = vec_id WHERE vec_id % 20 = 0""",
     "cache_kept": f"WITH {ENTRIES}, {NOW}, bad AS (SELECT id FROM now WHERE deleted = 1 OR status = 'FAILED') SELECT entry, CAST(len(sources) AS INT) AS n_sources FROM en WHERE entry NOT IN (SELECT entry FROM (SELECT entry, unnest(sources) AS s FROM en) t WHERE s IN (SELECT id FROM bad))",
     "call_graph_scores": f"WITH {EDGES}, c AS (SELECT DISTINCT method_name, caller_file FROM edges) SELECT cu.id, CAST(least(1.0, 0.5 * count(*)) AS DOUBLE) AS score FROM cu JOIN c USING (method_name) WHERE caller_file <> file_path GROUP BY cu.id",
-    "callers_by_substring": f"""WITH {UNITS}, a AS (SELECT project_id, id AS unit_id, lower(regexp_extract(method_name, '^[a-z]+', 0)) AS m FROM cu WHERE id % 20 = 0 AND length(method_name) > 0), c AS (SELECT project_id, id AS caller_id, lower(unnest(calls)) AS call FROM cu)
+    "callers_by_substring": f"""WITH {UNITS}, a AS (SELECT project_id, id AS unit_id, lower(method_name) AS m FROM cu WHERE id % 20 = 0 AND length(method_name) > 0), c AS (SELECT project_id, id AS caller_id, lower(unnest(calls)) AS call FROM cu)
  SELECT DISTINCT unit_id, caller_id FROM a JOIN c USING (project_id) WHERE m <> '' AND contains(call, m) AND unit_id <> caller_id""",
     "units_from_two_indexes": f"""WITH {UNITS}, e AS (SELECT project_id, file_path, 'exact' AS index, id FROM cu WHERE len(enriched_calls) > 0), u AS (SELECT * FROM e UNION ALL SELECT project_id, file_path, 'parsed', id FROM cu WHERE (project_id, file_path) NOT IN (SELECT (project_id, file_path) FROM e))
  SELECT project_id, index, count(*) AS n_units, count(DISTINCT file_path) AS n_files FROM u GROUP BY 1, 2""",
@@ -236,6 +236,6 @@ SQL = {
     "relation_map": f"""WITH {GRAPH}, {_hops("SELECT id FROM nd WHERE id % 20 = 0")} SELECT source, '{{' || string_agg('"' || node || '":' || hops, ',' ORDER BY CAST(node AS VARCHAR)) || '}}' AS related FROM near GROUP BY source""",
     "nodes_synced": f"WITH {NOW} SELECT id, file_name, coalesce(level, 0) AS level, CAST(len(list_filter(string_split(coalesce(tags, ''), ','), lambda t: trim(t) <> '')) AS INT) AS n_tags FROM now WHERE deleted = 0",
     "keyword_coverage": f"""WITH {ASKED}, {CORPUS}, kw AS ({_keyword_sql(8)}), e AS (SELECT query_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: length(w) >= 5)) AS expected FROM asked),
- s AS (SELECT query_id, lower(string_agg(text, ' ')) AS shown FROM kw JOIN corpus USING (chunk_id) WHERE rank <= 5 GROUP BY 1), x AS (SELECT query_id, len(list_filter(expected, lambda w: contains(shown, w))) / len(expected) AS c FROM e JOIN s USING (query_id) WHERE len(expected) > 0)
+ s AS (SELECT query_id, lower(string_agg(text, ' ')) AS shown FROM kw JOIN corpus USING (chunk_id) WHERE rank <= 5 GROUP BY 1), x AS (SELECT query_id, len(list_filter(expected, lambda w: contains(coalesce(shown, ''), w))) / len(expected) AS c FROM e LEFT JOIN s USING (query_id) WHERE len(expected) > 0)
  SELECT query_id, round(c, 6) AS coverage, c >= 0.3 AS hit FROM x""",
 }

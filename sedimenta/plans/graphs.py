@@ -99,7 +99,7 @@ def _hops(sources: str) -> str:
 
 def _closure(where: str, flip: bool, level: str) -> str:
     a, b = ("dst", "src") if flip else ("src", "dst")
-    return f"""WITH RECURSIVE {GRAPH}, us AS (SELECT DISTINCT {a} AS x, {b} AS y FROM ed WHERE type IN ({where})), cl AS (SELECT id AS source, id AS node, 0 AS hops FROM nd WHERE id % 5 = 0 UNION SELECT source, y, hops + 1 FROM cl JOIN us ON x = node WHERE hops < 12),
+    return f"""WITH RECURSIVE {GRAPH}, us AS (SELECT DISTINCT {a} AS x, {b} AS y FROM ed WHERE type IN ({where})), cl AS (SELECT id AS source, id AS node, 0 AS hops FROM nd UNION SELECT source, y, hops + 1 FROM cl JOIN us ON x = node WHERE hops < (SELECT count(*) FROM nd)),
  mi AS (SELECT source, node, min(hops) AS hops FROM cl GROUP BY 1, 2) SELECT source, node, CAST(hops AS INT) AS hops FROM mi JOIN nd a ON a.id = source JOIN nd b ON b.id = node WHERE hops > 0 AND source <> node AND b.level {level} a.level"""
 
 
@@ -107,8 +107,8 @@ SQL = {
     "graph_edges": f"WITH {GRAPH} SELECT * FROM ed",
     "graph_related": f"""WITH {GRAPH}, {_hops("SELECT id FROM nd WHERE id % 20 = 0")} SELECT source, node, CAST(hops AS INT) AS hops, array_to_string(list_sort(types), ' ') AS relation,
  CASE WHEN b.level < a.level THEN 'UP' WHEN b.level > a.level THEN 'DOWN' ELSE 'SAME' END AS direction FROM near JOIN nd a ON a.id = source LEFT JOIN nd b ON b.id = node""",
-    "graph_paths": f"""WITH RECURSIVE {GRAPH}, cl AS (SELECT id AS source, id AS node, 0 AS hops FROM nd WHERE id % 20 = 0 UNION SELECT source, dst, hops + 1 FROM cl JOIN un ON src = node WHERE hops < 6)
- SELECT source, node, CAST(min(hops) AS INT) AS hops FROM cl WHERE source <> node AND node % 50 = 0 GROUP BY 1, 2""",
+    "graph_paths": f"""WITH RECURSIVE {GRAPH}, cl AS (SELECT id AS source, id AS node, 0 AS hops FROM nd WHERE id % 20 = 0 UNION SELECT source, dst, hops + 1 FROM cl JOIN un ON src = node WHERE hops < 10)
+ SELECT source, node, CAST(min(hops) AS INT) AS hops FROM cl WHERE source <> node GROUP BY 1, 2""",
     "graph_upstream": _closure("'REFERENCES', 'DEPENDS_ON'", False, "<"),
     "graph_downstream": _closure("'DEPENDS_ON', 'EXTENDS'", True, ">"),
     "graph_statistics": f"""WITH {GRAPH} SELECT 'nodes' AS what, '' AS key, count(*) AS n FROM nd UNION ALL SELECT 'level', CAST(level AS VARCHAR), count(*) FROM nd WHERE level > 0 GROUP BY level

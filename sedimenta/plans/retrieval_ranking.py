@@ -79,7 +79,7 @@ def query_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Words of the points' titles, widened by a lexicon made of the documents' tag lists (first tag: the rest)."""
     tags = F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != "")
     lists = documents_now(spark, d).where("tags IS NOT NULL").select(tags.alias("tags")).where("size(tags) > 1")
-    lexicon = lists.select(F.get("tags", F.lit(0)).alias("term"), F.explode(F.slice("tags", 2, 100)).alias("synonym")).where("term != synonym").distinct()
+    lexicon = lists.select(F.get("tags", F.lit(0)).alias("term"), F.explode(F.expr("slice(tags, 2, size(tags) - 1)")).alias("synonym")).where("term != synonym").distinct()
     return retrieval.expand(points(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text")), lexicon)
 
 
@@ -174,14 +174,14 @@ def corrective_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise_floor(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.drop_noise(keyword_top_k(spark, d), 0.8).select("query_id", "chunk_id", "rank")
+    return ranking.drop_noise(keyword_top_k(spark, d)).select("query_id", "chunk_id", "rank")
 
 
 def corrective_retry(spark: SparkSession, d: str) -> DataFrame:
-    """Queries of medium confidence search again at twice the depth over all levels, and the better score of a chunk wins."""
-    first = _dense(spark, d, 4, [1, 2])
-    medium = ranking.verdicts(first.withColumn("source", F.lit(""))).where("verdict != 'HIGH'").select("query_id")
-    return ranking.merge_best(first, _dense(spark, d, 8).join(medium, "query_id", "left_semi"))
+    """Queries of medium confidence search again at twice the depth over all levels, and the better score of a chunk wins;
+    those of low confidence end without hits."""
+    first = materialize(_dense(spark, d, 4, [1, 2]).withColumn("source", F.lit("")), "first")
+    return ranking.correct(first, _dense(spark, d, 8))
 
 
 def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
@@ -303,7 +303,7 @@ def _keyword_sql(k: int, where: str = "true") -> str:
  cg AS (SELECT chunk_id, len(g) AS size, g FROM (SELECT chunk_id, {_PAIRS.format(b=_BARE.format(c="text"))} AS g FROM corpus WHERE {where}) t WHERE len(g) > 0),
  tot AS (SELECT count(*) AS n, avg(size) AS m FROM cg),
  ps AS (SELECT chunk_id, gram, count(*) AS tf, first(size) AS size FROM (SELECT chunk_id, size, unnest(g) AS gram FROM cg) t WHERE gram IN (SELECT gram FROM qg) GROUP BY 1, 2),
- kn AS (SELECT gram, df FROM (SELECT gram, count(*) AS df FROM ps GROUP BY 1) t, tot WHERE df <= n * 0.25),
+ kn AS (SELECT gram, count(*) AS df FROM ps GROUP BY 1),
  sc AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m))), 6) AS score FROM qg JOIN kn USING (gram) JOIN ps USING (gram), tot GROUP BY 1, 2)
  SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) r WHERE rank <= {k}"""
 
@@ -341,10 +341,13 @@ _METRICS = """ex AS (SELECT query_id, count(DISTINCT item) AS n FROM qr GROUP BY
  FROM ex LEFT JOIN fo USING (query_id) LEFT JOIN go USING (query_id))"""
 _MEANS = "count(*) AS n, round(avg(hit4), 6) AS hit4, round(avg(hit8), 6) AS hit8, round(avg(recall8), 6) AS recall8, round(avg(rr), 6) AS rr, round(avg(precision4), 6) AS precision4"
 _COMPOSITE = "round(0.35 * hit4 + 0.25 * rr + 0.2 * recall8 + 0.2 * precision4, 6) AS composite"
+#: Runs and expected items of the evaluation queries: neither holds the asking row itself.
+_APART = """{dense}, ru AS (SELECT query_id, item, rank, score FROM (SELECT query_id, chunk_id AS item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn WHERE query_id <> chunk_id) t WHERE rank <= {k}),
+ sl AS (SELECT query_id, item FROM (SELECT q.vec_id AS query_id, c.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.vec_id) AS rank FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) t WHERE rank <= 10)"""
 _QREL = r"SELECT DISTINCT id AS query_id, CAST(unnest(regexp_extract_all(chunk_ids, '[0-9]+')) AS BIGINT) AS item FROM pt WHERE id % 20 = 0 AND source_question IS NOT NULL"
-_GRID = f"""WITH {VEC}, dn AS ({_dense_sql(12)}), bs AS (SELECT query_id, max(score) AS best FROM dn GROUP BY 1), pa AS (SELECT 'k' || k || '-n' || n || '-f' || f AS label, k, n, f FROM (SELECT unnest([4, 8, 12]) AS k) a, (SELECT unnest([2, 4, 6]) AS n) b, (SELECT unnest([0.5, 0.7, 0.9]) AS f) c WHERE n <= k),
- ru AS (SELECT label || '/' || query_id AS query_id, label, chunk_id AS item, rank FROM dn JOIN bs USING (query_id), pa WHERE rank <= k AND rank <= n AND score >= f * best),
- qr AS (SELECT pa.label || '/' || query_id AS query_id, chunk_id AS item FROM dn JOIN embeddings a ON a.vec_id = dn.query_id JOIN embeddings b ON b.vec_id = dn.chunk_id, pa WHERE a.label = b.label), {_METRICS.replace("SELECT ru.*", "SELECT ru.query_id, ru.rank")},
+_GRID = f"""WITH {VEC}, dn AS ({_dense_sql(13)}), {_APART.format(dense="r1 AS (SELECT 1)", k=12).replace("ru AS", "r0 AS")}, bs AS (SELECT query_id, max(score) AS best FROM r0 GROUP BY 1),
+ pa AS (SELECT 'baseline' AS label, 8 AS k, 4 AS n, 0.7 AS f UNION ALL SELECT 'k' || k || '-n' || n || '-f' || f, k, n, f FROM (SELECT unnest([4, 8, 12]) AS k) a, (SELECT unnest([2, 4, 6]) AS n) b, (SELECT unnest([0.5, 0.7, 0.9]) AS f) c WHERE n <= k),
+ ru AS (SELECT label || '/' || query_id AS query_id, label, item, rank FROM r0 JOIN bs USING (query_id), pa WHERE rank <= k AND rank <= n AND score >= f * best), qr AS (SELECT pa.label || '/' || query_id AS query_id, item FROM sl, pa), {_METRICS.replace("SELECT ru.*", "SELECT ru.query_id, ru.rank")},
  gr AS (SELECT string_split(query_id, '/')[1] AS label, {_MEANS} FROM me GROUP BY 1)"""
 _KEYWORD = f"WITH {ASKED}, {CORPUS}, kw AS ({_keyword_sql(8)})"
 _DENSE8 = f"WITH {VEC}, dn AS ({_dense_sql(8)})"
@@ -361,7 +364,7 @@ SQL = {
     "sparse_terms": f"WITH {ASKED}, {CORPUS}, {TERMS} SELECT * FROM terms",
     "sparse_top_k": f"WITH {ASKED}, {CORPUS}, {TERMS}, {SPARSE} SELECT * FROM sparse",
     "query_expansion": rf"""WITH {NOW}, {PT}, l AS (SELECT list_filter(list_transform(string_split(tags, ','), lambda t: trim(t)), lambda t: t <> '') AS g FROM now WHERE tags IS NOT NULL),
- p AS (SELECT DISTINCT a, b FROM (SELECT g[1] AS a, unnest(g[2:101]) AS b FROM l WHERE len(g) > 1) t WHERE a <> b), q AS (SELECT DISTINCT id AS query_id, w AS term FROM (SELECT id, unnest(regexp_split_to_array(lower(title), '[\s,，。；;、．.！!？?（）()【】\[\]：:]+')) AS w FROM pt WHERE id % 20 = 0) t WHERE w <> '')
+ p AS (SELECT DISTINCT a, b FROM (SELECT g[1] AS a, unnest(g[2:]) AS b FROM l WHERE len(g) > 1) t WHERE a <> b), q AS (SELECT DISTINCT id AS query_id, w AS term FROM (SELECT id, unnest(regexp_split_to_array(lower(title), '[\s,，。；;、．.！!？?（）()【】\[\]：:]+')) AS w FROM pt WHERE id % 20 = 0) t WHERE w <> '')
  SELECT * FROM q UNION SELECT query_id, b FROM q JOIN p ON a = term UNION SELECT query_id, a FROM q JOIN p ON b = term""",
     "hypothesis_texts": f"WITH {PT} SELECT id, coalesce(nullif(trim(concept), ''), source_question, title) AS text FROM pt",
     "route_back_fill": f"""WITH {VEC}, a AS ({_dense_sql(4, 'level IN (1, 2)')}), b AS ({_dense_sql(4, 'level IN (2, 3)')}), u AS (SELECT *, 'A' AS route FROM a UNION ALL SELECT query_id, chunk_id, round(score * 0.6, 6), rank, 'B' FROM b WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM a))
@@ -375,24 +378,25 @@ SQL = {
  y AS MATERIALIZED (SELECT *, CASE WHEN length(bq) <= 2 THEN [bq] ELSE {_PAIRS.format(b="bq")} END AS pairs, lower(content || ' ' || coalesce(file_name, '')) AS t FROM x),
  z AS (SELECT query_id, chunk_id, {_ROUND4.format(x="0.4 * score + 0.2 * CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda w: contains(t, w))) / len(terms) ELSE 0 END + 0.2 * CASE WHEN len(list_filter(terms, lambda w: contains(lower(coalesce(file_name, '')), w))) > 0 THEN 1 ELSE 0 END + 0.1 * len(list_filter(pairs, lambda w: contains(bc, w))) / len(pairs) + 0.1 * CASE WHEN coalesce(seq, 0) <= 0 THEN 0 ELSE floor(0.2 * greatest(0, 1 - (seq - 1) / 10) * 100 + 0.5) / 100 END")} AS score FROM y)
  SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM z) r WHERE rank <= 4""",
-    "question_terms": f"SELECT doc_id, array_to_string(list_sort({_CODE_TERMS.format(c='text')}), ' ') AS terms FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL",
+    "question_terms": f"SELECT doc_id, array_to_string(list_sort({_CODE_TERMS.format(c='text')}), ' ') AS terms FROM documents WHERE text IS NOT NULL",
     "cross_rerank": f"""{_DENSE8}, {_JUDGED}, x AS (SELECT dn.query_id, dn.chunk_id, {_ROUND4.format(x="coalesce((given - 1) / 4, 0.5) * 0.7 + score * (1 - 0.7)")} AS score FROM dn LEFT JOIN jd USING (query_id, chunk_id))
  SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM x) r WHERE rank <= 4""",
     "relevance_guard": f"""{_DENSE8}, {_JUDGED}, x AS (SELECT dn.query_id, dn.chunk_id, rank, coalesce(relevant, true) AS ok FROM dn LEFT JOIN jd USING (query_id, chunk_id)), y AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (WHERE ok) OVER (PARTITION BY query_id) AS k FROM x)
  SELECT query_id, chunk_id, rank FROM y WHERE n <= 2 OR ok OR (k = 0 AND rank = 1)""",
     "corrective_verdicts": f"""{_DENSE8}, c AS (SELECT query_id, round(least(1.0, avg(score) FILTER (WHERE rank <= 3) + CASE WHEN count(DISTINCT CASE WHEN rank % 2 = 0 THEN 'B' END) >= 2 THEN 0.1 ELSE 0 END), 4) AS confidence, count(DISTINCT CASE WHEN rank % 2 = 0 THEN 'B' END) AS n_sources FROM dn GROUP BY 1)
  SELECT query_id, n_sources, confidence, CASE WHEN confidence >= 0.7 THEN 'HIGH' WHEN confidence >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS verdict FROM c""",
-    "noise_floor": f"{_KEYWORD} SELECT query_id, chunk_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM kw) t WHERE m <= 0 OR score >= 0.8 * m",
-    "corrective_retry": f"""WITH {VEC}, a AS ({_dense_sql(4, 'level IN (1, 2)')}), b AS ({_dense_sql(8)}), m AS (SELECT query_id FROM a GROUP BY 1 HAVING round(least(1.0, avg(score) FILTER (WHERE rank <= 3)), 4) < 0.7),
- u AS (SELECT query_id, chunk_id, score, 0 AS src FROM a UNION ALL SELECT query_id, chunk_id, score, 1 FROM b WHERE query_id IN (SELECT query_id FROM m)), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, src) AS r FROM u)
- SELECT query_id, chunk_id, score, src, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM x WHERE r = 1""",
+    "noise_floor": f"{_KEYWORD} SELECT query_id, chunk_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM kw) t WHERE m <= 0 OR score >= 0.3 * m",
+    "corrective_retry": f"""WITH {VEC}, a AS ({_dense_sql(4, 'level IN (1, 2)')}), b AS ({_dense_sql(8)}), m AS (SELECT query_id, round(least(1.0, avg(score) FILTER (WHERE rank <= 3)), 4) AS c FROM a GROUP BY 1),
+ u AS (SELECT query_id, chunk_id, score, 0 AS src FROM a JOIN m USING (query_id) WHERE c >= 0.3 UNION ALL SELECT query_id, chunk_id, score, 1 FROM b JOIN m USING (query_id) WHERE c >= 0.3 AND c < 0.7), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, src) AS r FROM u)
+ SELECT query_id, chunk_id, score, src, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM x WHERE r = 1) y WHERE m <= 0 OR score >= 0.3 * m""",
     "answer_confidence": f"""{_base(8)}, cf AS (SELECT DISTINCT kw.query_id, ch.doc_id FROM kw JOIN ch ON ch.id = kw.chunk_id), x AS (SELECT dn.*, CASE WHEN cf.doc_id IS NOT NULL THEN 1 ELSE 0 END AS yes FROM dn LEFT JOIN ch ON ch.id = dn.chunk_id LEFT JOIN cf ON cf.query_id = dn.query_id AND cf.doc_id = ch.doc_id),
  y AS (SELECT query_id, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, avg(yes) AS sh FROM x GROUP BY 1)
  SELECT query_id, {_ROUND4.format(x="least(1.0, s1 * CASE WHEN s2 IS NULL THEN 1.2 ELSE least(1.2, 1 + 2 * (s1 - s2)) END * (0.5 + 0.5 * sh)) * 0.8 + 0.2")} AS confidence FROM y""",
-    "eval_queries": f"""WITH {VEC}, {PT}, dn AS ({_dense_sql(8)}), ru AS (SELECT query_id, rank, chunk_id AS item FROM dn), qr AS (SELECT ru.query_id, ru.item FROM ru JOIN embeddings a ON a.vec_id = ru.query_id JOIN embeddings b ON b.vec_id = ru.item WHERE a.label = b.label AND rank % 2 = 1 UNION ALL {_QREL}),
+    "eval_queries": f"""WITH {VEC}, {PT}, dn AS ({_dense_sql(9)}), {_APART.format(dense="r1 AS (SELECT 1)", k=8)}, qr AS (SELECT * FROM sl UNION SELECT * FROM ({_QREL}) t WHERE query_id <> item),
  {_METRICS} SELECT * FROM me""",
     "eval_summary": f"{_KEYWORD}, ru AS (SELECT query_id, rank, chunk_id AS item FROM kw), qr AS ({_QREL}), {_METRICS}, s AS (SELECT {_MEANS} FROM me) SELECT *, {_COMPOSITE} FROM s",
     "eval_grid": f"{_GRID} SELECT *, {_COMPOSITE} FROM gr",
+    "eval_best": f"{_GRID}, g AS (SELECT *, {_COMPOSITE} FROM gr) SELECT first(label ORDER BY composite DESC, reverse(label) DESC) AS label, max(composite) AS composite, count(*) AS n_tried FROM g",
     "level_responses": f"""WITH {NOW} SELECT id, CASE WHEN id % 7 <> 0 AND level BETWEEN 1 AND 5 THEN level ELSE 0 END AS level, CAST(CASE WHEN id % 7 <> 0 AND level_confidence BETWEEN 0 AND 1 THEN level_confidence ELSE 0 END AS DOUBLE) AS confidence FROM now""",
     "native_levels": f"""WITH {NOW} SELECT id, CASE WHEN level_confidence >= 0.7 THEN CAST(level AS VARCHAR) WHEN level_confidence >= 0.4 AND level > 0 THEN array_to_string(generate_series(greatest(1, level - 1), least(5, level + 1)), ',') ELSE '1,2,3,4,5' END AS levels FROM now""",
     "router_features": rf"""WITH {PT}, x AS (SELECT id, source_question AS q, list_filter(regexp_split_to_array(source_question, '\s+'), lambda w: w <> '') AS w FROM pt WHERE source_question IS NOT NULL)

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta import streaming
+from sedimenta.plans.usage_state import LIMITED
+from sedimenta.sources import is_folder
 from sedimenta.streaming.events import read_stream
 
 
 def _table(spark: SparkSession, d: str, name: str, ts: str) -> DataFrame:
     """A table as a stream; it may be one file or a folder of files."""
-    from pathlib import Path
-
     path = f"{d}/{name}.parquet"
-    return read_stream(spark, f"{path}/*.parquet" if Path(path).is_dir() else f"{path}*", ts)
+    return read_stream(spark, f"{path}/*.parquet" if is_folder(spark, path) else f"{path}*", ts)
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,7 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_usage(spark: SparkSession, d: str) -> DataFrame:
     log = _table(spark, d, "token_usage_log", "created_at").where("user_id IS NOT NULL AND created_at IS NOT NULL")
-    return streaming.run_once(streaming.latest_usage(log.dropDuplicates(["id"]), "created_at", "user_id", "1 day"), "complete")
+    return streaming.run_once(streaming.latest_usage(streaming.deduplicated(log, "created_at", ["id"], "30 days"), "created_at", "user_id"), "complete")
 
 
 QUERIES = {f.__name__: f for f in (stream_windows, stream_dedup, stream_rate_limit, stream_usage)}
@@ -41,6 +41,7 @@ QUERIES = {f.__name__: f for f in (stream_windows, stream_dedup, stream_rate_lim
 SQL = {
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_dedup": "SELECT DISTINCT id, project_id, method_name FROM code_method_call",
+    "stream_rate_limit": LIMITED,
     "stream_usage": """SELECT user_id, strftime(created_at, '%Y-%m-%d') AS day, CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens
 FROM (SELECT DISTINCT ON (id) * FROM token_usage_log WHERE user_id IS NOT NULL AND created_at IS NOT NULL) t GROUP BY 1, 2""",
 }

@@ -50,7 +50,7 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def idempotent_claims(spark: SparkSession, d: str) -> DataFrame:
-    return state.first_claims(load(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 86_400).select("event_id", "claimed")
+    return state.first_claims(load(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 86_400)
 
 
 def message_once(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +120,11 @@ QUERIES = {
 }
 
 _LOG = "WITH log AS (SELECT *, coalesce(input_tokens, 0) + coalesce(output_tokens, 0) AS total FROM (SELECT DISTINCT ON (id) * FROM token_usage_log) t) "
+#: Each user's events in order, with the times that were accepted and are not older than a day.
+LIMITED = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+f AS (SELECT user_id, n, event_id, [us] AS kept, true AS allowed FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, event_id, CASE WHEN len(live) < 3 THEN list_append(live, us) ELSE live END, len(live) < 3 FROM (SELECT e.user_id, e.n, e.event_id, e.us, list_filter(f.kept, lambda t: t > e.us - 86400000000) AS live FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) t)
+SELECT event_id, allowed FROM f"""
 _TURNS = """WITH p AS (SELECT DISTINCT ON (id) * FROM knowledge_point),
 turns AS (SELECT source_conversation_id AS conv_id, updated_at, id, coalesce(source_question, title) AS text, status, pattern_name FROM p WHERE source_conversation_id IS NOT NULL) """
 
@@ -131,7 +136,10 @@ SQL = {
     "usage_percentiles": _LOG + "SELECT upper(scene) AS scene, count(*) AS n, avg(input_tokens) AS mean, quantile_cont(input_tokens, 0.5) AS p50, quantile_cont(input_tokens, 0.95) AS p95, quantile_cont(input_tokens, 0.99) AS p99 FROM log WHERE input_tokens IS NOT NULL GROUP BY 1",
     "event_percentiles": "SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events WHERE value IS NOT NULL GROUP BY 1",
     "rate_attempts": "SELECT event_id, attempts, attempts > 3 AS over FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS attempts FROM events) t",
-    "idempotent_claims": "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) > 86400000000, true) AS claimed FROM events",
+    "idempotent_claims": """WITH RECURSIVE c AS (SELECT user_id, event_type, min(ts) AS at FROM events GROUP BY 1, 2 UNION ALL SELECT e.user_id, e.event_type, min(e.ts) FROM c JOIN events e ON e.user_id = c.user_id AND e.event_type = c.event_type AND e.ts >= c.at + INTERVAL 1 DAY GROUP BY 1, 2),
+w AS (SELECT min(event_id) AS event_id FROM c JOIN events e ON e.user_id = c.user_id AND e.event_type = c.event_type AND e.ts = c.at GROUP BY c.user_id, c.event_type, c.at)
+SELECT event_id, event_id IN (SELECT event_id FROM w) AS claimed FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL""",
+    "rate_limit": LIMITED,
     "message_once": "SELECT project_id, caller_file, method_name, first(id ORDER BY created_at, id) AS id, count(*) AS n_seen FROM code_method_call GROUP BY 1, 2, 3",
     "unexpired_points": "SELECT DISTINCT id, updated_at FROM knowledge_point WHERE updated_at + INTERVAL 2160 HOURS > TIMESTAMP '2026-03-01'",
     "memory_compaction": _TURNS + """, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY updated_at DESC, id DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS size FROM turns)

@@ -16,10 +16,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by all executors: ``spark.checkpoint.dir`` where the cluster sets it.
 
-    Only where it is unset (tests, a laptop) a temporary folder is made and written back to the session.
+    Only where it is unset and the master is local (tests, a laptop) a temporary folder is made and written back to the
+    session; a cluster without a shared folder is an error, as a machine's own folder would give partial tables.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
@@ -39,6 +42,13 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/sedimenta-{spark.sparkContext.applicationId}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, on whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has materialized, once no DataFrame that reads it is needed any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))

@@ -63,9 +63,9 @@ def rate_limited(events: DataFrame, ts: str, key: str, record: str, capacity: in
     return rows.groupBy("k").applyInPandasWithState(step, f"{record} long, allowed boolean", "accepted array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def latest_usage(log: DataFrame, ts: str, user: str, late: str) -> DataFrame:
-    """Tokens per user and day, by event time."""
-    day = log.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), user)
+def latest_usage(log: DataFrame, ts: str, user: str) -> DataFrame:
+    """Tokens per user and day, by event time; ``log`` has its watermark, which bounds the days kept."""
+    day = log.groupBy(F.window(ts, "1 day").alias("w"), user)
     total = F.coalesce(F.col("input_tokens").cast("long"), F.lit(0)) + F.coalesce(F.col("output_tokens").cast("long"), F.lit(0))
     return day.agg(F.sum(total).alias("tokens")).select(user, F.to_date("w.start").cast("string").alias("day"), "tokens")
 

@@ -65,46 +65,49 @@ class Grammar:
         return popped
 
     def parse(self, kinds: str) -> tuple[float, list] | None:
-        """Cost and tree (nonterminal, begin, end, children) of the cheapest derivation of the longest start span."""
+        """Cost and tree (nonterminal, begin, end, children) of the cheapest derivation of the longest start span.
+
+        Costs of all spans fall until none falls any more, shorter spans first; nothing recurses, so the length of
+        the input is bounded by memory alone.
+        """
         popped = self.spans(kinds)
-        ends = popped.get((self.start, 0))
-        if not ends:
+        if not popped.get((self.start, 0)):
             return None
-        best: dict[tuple[str, int, int], tuple[float, list]] = {}
-        open_now: set[tuple[str, int, int]] = set()
-
-        def derive(symbol: str, i: int, j: int) -> tuple[float, list]:
-            key = (symbol, i, j)
-            if key in best:
-                return best[key]
-            if key in open_now:
-                return INFINITE, []
-            open_now.add(key)
-            found: tuple[float, list] = (INFINITE, [])
-            for cost, body in self.rules[symbol]:
-                rest, children = fill(body, 0, i, j)
-                if cost + rest < found[0]:
-                    found = (cost + rest, [symbol, i, j, children])
-            open_now.discard(key)
-            best[key] = found
-            return found
-
-        def fill(body: tuple, dot: int, i: int, j: int) -> tuple[float, list]:
-            while dot < len(body) and not isinstance(body[dot], str):
-                if i >= j or kinds[i] not in body[dot]:
-                    return INFINITE, []
-                dot, i = dot + 1, i + 1
-            if dot == len(body):
-                return (0, []) if i == j else (INFINITE, [])
-            found: tuple[float, list] = (INFINITE, [])
-            for end in sorted(popped.get((body[dot], i), ()), reverse=True):
-                if end > j or (dot == len(body) - 1 and end != j):
-                    continue
-                rest, children = fill(body, dot + 1, end, j)
-                if rest < found[0]:
-                    cost, tree = derive(body[dot], i, end)
-                    if cost + rest < found[0]:
-                        found = (cost + rest, [tree, *children])
-            return found
+        spans = sorted(((symbol, i, j) for (symbol, i), ends in popped.items() for j in ends), key=lambda x: (x[2] - x[1], -x[1]))
+        cost = dict.fromkeys(spans, INFINITE)
+        made: dict[tuple[str, int, int], list] = {}
+        changed = True
+        while changed:
+            changed = False
+            for span in spans:
+                for own, body in self.rules[span[0]]:
+                    found = self._fill(kinds, body, span[1], span[2], popped, cost)
+                    if found and own + found[0] < cost[span]:
+                        cost[span], made[span], changed = own + found[0], found[1], True
+        top = min(((self.start, 0, j) for j in popped[self.start, 0]), key=lambda x: (cost[x], -x[2]))
+        if cost[top] == INFINITE:
+            return None
+        tree: list = [*top, []]
+        todo = [tree]
+        while todo:
+            node = todo.pop()
+            node[3] = [[*child, []] for child in made[node[0], node[1], node[2]]]
+            todo += node[3]
+        return cost[top], tree
 
-        return min((derive(self.start, 0, end) + (-end,) for end in ends), key=lambda x: (x[0], x[2]))[:2]
+    @staticmethod
+    def _fill(kinds: str, body: tuple, i: int, j: int, popped: dict, cost: dict) -> tuple[float, list] | None:
+        """The cheapest way to cover i..j with a rule's symbols: its cost and the spans of its nonterminals."""
+        ways: dict[int, tuple[float, list]] = {i: (0, [])}
+        for part in body:
+            further: dict[int, tuple[float, list]] = {}
+            for at, (paid, children) in ways.items():
+                if isinstance(part, str):
+                    for end in popped.get((part, at), ()):
+                        total = paid + cost[part, at, end]
+                        if end <= j and total < further.get(end, (INFINITE,))[0]:
+                            further[end] = (total, [*children, (part, at, end)])
+                elif at < j and kinds[at] in part and paid < further.get(at + 1, (INFINITE,))[0]:
+                    further[at + 1] = (paid, children)
+            ways = further
+        return ways.get(j)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.byte_bpe import count_tokens, encode
-from sedimenta.llm.function_docs import function_docs
+from sedimenta.llm.function_docs import function_docs, functions_in_sources
 from sedimenta.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from sedimenta.llm.packing import pack_documents
 from sedimenta.llm.pieces import cut_oversized
@@ -42,6 +42,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return function_docs(load(spark, d, "code_unit"), texts=False).where("verdict != 'described'").select("unit_id")
 
 
+def p5_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with their documentation out of the source files among the documents."""
+    return functions_in_sources(load(spark, d, "documents"), "doc_id", "text").where("verdict = 'described'").drop("verdict")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(load(spark, d, "documents"), "doc_id", "text")
 
@@ -68,7 +73,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_prose(spark, d).where("NOT prose").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_prose": p8_prose, "p8_statistics": p8_statistics}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_sources": p5_sources, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_prose": p8_prose, "p8_statistics": p8_statistics}
 
 _BLANK = r"\p{Z}\s\x{85}\x0b\x1c-\x1f"
 _STATISTICS = f"""

@@ -148,11 +148,64 @@ def test_opening_documentation(body, doc):
     assert function_docs.Heads().read(body)[0] == doc
 
 
+def functions(source):
+    import time
+
+    began = time.perf_counter()
+    found = function_docs.Heads().functions(source)
+    assert time.perf_counter() - began < 1
+    return [(f["name"], f["doc"]) for f in found]
+
+
+def test_long_heads_and_files_parse_in_no_time():
+    one = [("f", "/** Doc. */")]
+    assert functions("".join(f"import a.b.C{i};\n" for i in range(1000)) + "/** Doc. */\npublic int f(int x) { return 1; }") == one
+    assert functions("".join(f"import a.b{i}\n" for i in range(1000)) + "def f(x):\n    'Doc.'\n    return 1") == [("f", "'Doc.'")]
+    assert functions("/** Doc. */\npublic int f(" + ", ".join(f"Map<String, List<T{i}>> p{i}" for i in range(500)) + ") throws E {\n}") == one
+    assert functions("\n".join("words in a line (with brackets) and so on; more (text" for _ in range(1500))) == []
+    assert functions("(" * 20_000) == [] and functions("foo(x)\n" * 5000) == [] and functions("void foo(x " * 5000) == []
+    assert len(functions("int f(){" * 3000)) == 3000 and len(functions("function a(b){return c(b)}" * 2000)) == 2000
+    assert functions("// c\n" * 3000 + "void f() {}") == [("f", "\n".join(["// c"] * 3000))]
+
+
+def test_all_methods_of_a_broken_class():
+    methods = []
+    for i in range(100):
+        m = f"    /** Doc {i}. */\n    public int m{i}(int a, String b) {{\n        if (a > {i}) {{ return g(b); }}\n        for (int k = 0; k < 3; k++) {{ x.run(k); }}\n        return a;\n    }}\n"
+        m = m.replace("String b)", "String b") if i % 10 == 3 else m
+        m = m[:-6] if i % 10 == 6 else m
+        methods.append(m.replace("return g(b);", "return g(b;") if i % 10 == 8 else m)
+    found = function_docs.Heads().functions('package p;\n@Foo("x")\npublic class A {\n    private final int z = h(3);\n' + "\n".join(methods) + "}\n")
+    assert [(f["name"], f["doc"]) for f in found] == [(f"m{i}", f"/** Doc {i}. */") for i in range(100)]
+    assert all(f["code"].rstrip().endswith(("}", "return a;")) and "Doc" not in f["code"] for f in found)
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("class A { /** doc */ int f(int a) { return 1; } /** other */ int g() { return 2; } }", [("f", "/** doc */"), ("g", "/** other */")]),
+        ("class A(B):\n    @prop(1)\n    def a(self):\n        'One line.'\n        return foo(1)\n\n    async def b(self, x=(1, 2)):\n        pass\n", [("a", "'One line.'"), ("b", "")]),
+        ("package x\n\n// Name says.\nfunc (r *T) Name(x int) (int, error) {\n\tif v := f(x); v {\n\t}\n\tfor _, q := range g(x) {\n\t}\n}\n\nfunc Map[K comparable, V any](m map[K]V) []K {\n}\n", [("Name", "// Name says."), ("Map", "")]),
+        ("import {a} from 'b'\n/** Loads. */\nexport const load = async (q: Q<X>): Promise<Y> => {\n  it('x', () => { y() })\n}\nclass Z {\n  constructor(private a: A) {}\n  // gets\n  get(x?: number): void {\n    foo(x)\n  }\n}\n", [("load", "/** Loads. */"), ("constructor", ""), ("get", "// gets")]),
+        ("int x = 3; // a note\nvoid f() {}", [("f", "")]), ("", []),
+    ],
+)
+def test_functions_of_files(source, want):
+    assert functions(source) == want
+
+
+def test_functions_in_sources_edges(spark):
+    rows = [(1, None), (2, ""), (3, "just words (in brackets), nothing else."), (4, "/** Counts open files per owner. */\nint f() { return 1; }\n// noqa\nint g() { return 2; }"), (4, "int h() {}")]
+    found = function_docs.functions_in_sources(spark.createDataFrame(rows, "id long, text string").withColumn("name", F.lit("clash")), "id", "text")
+    assert sorted((r.id, r.n, r.name, r.verdict) for r in found.collect()) == [(4, 0, "f", "described"), (4, 0, "h", "empty"), (4, 1, "g", "trivial")]
+    assert function_docs.functions_in_sources(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
 @pytest.mark.parametrize(
     "doc, verdict",
     [
         ("/** loads the file */", "trivial"), ("// TODO later", "trivial"), ("# noqa", "trivial"), ("/** @param path the path\n * @return the result */", "trivial"), ("", "empty"), ("/** */", "empty"), ("// x.load(path);", "trivial"),
-        ("/** Copyright (c) 2020 Foo. All rights reserved. */", "trivial"), ("/** Reads bytes until the stream closes. */", "described"), ("/** @param path must exist before the call starts */", "described"), ("// 返回第一个可用的条目", "described"), ("// 无", "trivial"),
+        ("/** Copyright (c) 2020 Foo. All rights reserved. */", "trivial"), ("/** Reads bytes until the stream closes. */", "described"), ("/** @param path must exist before the call starts */", "described"), ("// 返回第一个可用的条目", "described"), ("// 无", "trivial"), ("/** loadFile: walks the stream from its end. */", "described"), ("/** loadFile: reads the input and stops\n * as soon as a line repeats. */", "described"), ("/** path : str, optional */", "trivial"), ("/** @param otherThing\n * @throws SomeError */", "trivial"),
     ],
 )
 def test_verdicts(doc, verdict):
@@ -168,7 +221,7 @@ def test_function_docs_edges(spark):
 
 
 def test_a_description_of_the_whole_corpus_is_a_template(spark):
-    rows = [(i, f"name{i}", "", "Generated binding for the remote endpoint.", "", None) for i in range(40)] + [(99, "own", "", "Counts the open files of an owner.", "", None)]
+    rows = [(i, f"name{i}", "", "Generated binding for the remote endpoint.", "", None) for i in range(80)] + [(99, "own", "", "Counts the open files of an owner.", "", None)]
     df = spark.createDataFrame(rows, "id long, method_name string, signature string, comment string, body string, created_at timestamp")
     found = {r.unit_id: r.verdict for r in function_docs.function_docs(df).collect()}
     assert found.pop(99) == "described" and set(found.values()) == {"template"}

@@ -1,6 +1,6 @@
 """Text quality statistics of documents, and whether a document is natural prose.
 
-A long text is cut into chunks of ``CHUNK`` characters, so one huge document is the work of many tasks. Each chunk
+A text of more than ``CHUNK`` characters is cut into chunks, so one huge document is the work of many tasks. Each chunk
 gives partial counts that add up, and the state at its two ends: the word and the line that may go on in the
 neighbour. Chunks of a document are merged in order, ``FAN_IN`` at a time, level by level; where a word or line
 crosses the border its two halves are taken back and the whole is counted. Ratios and verdicts come from the sums.
@@ -10,12 +10,16 @@ characters that are neither letters, digits, underscores nor white space. A line
 ends; it ends in punctuation if its last visible character is one of ``ENDS``. Common words are those of ``COMMON``.
 
 Prose. A line counts as running text if its words look like sentences: enough function words of English, German or
-Spanish, or Chinese function characters, few symbols, few single letters, no code. Comments in source code don't
-count, nor do word sequences that the chunk has had before, and if articles are missing among the function words the
-words are scrambled. A document whose running text is less than half of its visible characters is no prose.
+Spanish, or Chinese function characters, few symbols, few single letters, no code. Comments don't count in a document
+that has code anywhere, nor do word sequences that the document has had before, and if articles are missing among the
+function words the words are scrambled. A document whose running text is less than half of its visible characters is no
+prose. Chunks don't change a verdict: they are cut between lines, a line of more than ``LINE`` characters is judged in
+stretches of ``LINE`` wherever it stands, a chunk is told which comment it begins in, counts within comments are kept
+apart until it is known whether there is code, and the sequences of a long document are made distinct by Spark over all
+its chunks.
 
 Defined results: null, empty and blank texts have no words and lines, null ratios, and are no prose; every row of the
-input gives a row, repeated ids too. A line of more than a chunk is judged in parts; its statistics are those of the whole.
+input gives a row, repeated ids too.
 """
 
 from __future__ import annotations
@@ -29,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.words import WORD
+from sedimenta.llm.words import WORD, WordHashes
+from sedimenta.sources import materialize
 
 CHUNK, FAN_IN = 1 << 16, 32
+LINE = 1 << 13
 SEQUENCE = 8
 LONGEST_COMMON = 16
 ENDS = frozenset(".!?。！？…")
@@ -57,9 +63,11 @@ _CODE = re.compile(
     r"|\w\.\w+\([^)]*\)[;,)]?\s*$|^\s*[\w.\[\], ]+\s*(?::=|\+=|=)\s*\S.*[\w)\]]\s*$|:=|=>|->|==|\(\)\s*\{|^\s+at\s+[\w.$]+\("
 )
 
-COUNTS = ("n_chars", "n_words", "n_word_chars", "n_symbols", "n_lines", "n_ended", "n_common", "visible", "running", "sequences", "distinct", "functions", "articles", "dangling")
-_STATE = "head string, head_size long, tail string, tail_size long, one_word boolean, first string, last string, one_line boolean"
-SCHEMA = "row long, part int, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + _STATE
+#: What is counted of running lines, once outside of comments and once (``in_``) within them.
+PROSE = ("running", "sequences", "distinct", "functions", "articles", "dangling")
+COUNTS = ("n_chars", "n_words", "n_word_chars", "n_symbols", "n_lines", "n_ended", "n_common", "visible", "code", *PROSE, *(f"in_{c}" for c in PROSE))
+STATE = {"head": "string", "head_size": "long", "tail": "string", "tail_size": "long", "one_word": "boolean", "first": "string", "last": "string", "one_line": "boolean"}
+SCHEMA = "row long, part int, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} {kind}" for c, kind in STATE.items())
 
 
 def _visible(text: str) -> int:
@@ -86,44 +94,69 @@ def _running(line: str, words: list[str]) -> list[str] | None:
     return words
 
 
-def _prose_counts(lines: list[str], words_of: list[list[str]], memory: dict) -> dict[str, int]:
-    code, comment, running, functions, articles, dangling, flat = None, None, 0, 0, 0, 0, []
+def _stretches(text: str) -> list[str]:
+    """The lines of a text, those of more than ``LINE`` characters in stretches of it."""
+    return [line[k : k + LINE] for line in _LINE.split(text) for k in range(0, max(len(line), 1), LINE)]
+
+
+def comment_after(line: str, comment: str | None) -> tuple[bool, str | None]:
+    """Whether a line stands in a comment, and what ends the comment that is open behind it."""
+    text = line.lstrip()
+    if comment:
+        return True, None if comment in text else comment
+    if text[:1] in "/\"'#-":
+        if text.startswith("/*"):
+            return True, None if "*/" in text[2:] else "*/"
+        if text.startswith(('"""', "'" * 3)):
+            return True, None if text[:3] in text[3:] else text[:3]
+        if text.startswith(("//", "#", "--")):
+            return True, None
+    return False, None
+
+
+def _sequences(lines: list[list[str]], memory: WordHashes) -> tuple[int, np.ndarray]:
+    """How many sequences of ``SEQUENCE`` words the lines have (a shorter line is one), and their distinct hashes."""
+    if not lines:
+        return 0, np.empty(0, dtype=np.uint64)
+    sizes = np.array([max(len(x), SEQUENCE) for x in lines])
+    codes = np.zeros(int(sizes.sum()), dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    used = np.arange(len(codes)) < np.repeat(ends - sizes + [len(x) for x in lines], sizes)
+    codes[used] = np.fromiter((memory[w] for x in lines for w in x), dtype=np.uint64, count=int(used.sum()))
+    n = len(codes) - SEQUENCE + 1
+    value = np.zeros(n, dtype=np.uint64)
+    for k in range(SEQUENCE):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    inside = np.ones(n, dtype=bool)
+    for k in range(1, SEQUENCE):
+        at = ends[:-1] - k
+        inside[at[at < n]] = False
+    value = value[inside]
+    return len(value), np.unique(value)
+
+
+def _prose_counts(lines: list[str], words_of: list[list[str]], memory: WordHashes, comment: str | None, sure: bool) -> tuple[dict[str, int], dict[str, np.ndarray]]:
+    """Counts of running lines and the hashes of their sequences. ``sure``: look for code even without comments."""
+    kept: dict[str, list[list[str]]] = {"": [], "in_": []}
+    out = dict.fromkeys((*PROSE, *(f"in_{c}" for c in PROSE)), 0)
     for line, words in zip(lines, words_of):
-        text = line.lstrip()
-        inside = comment is not None
-        if inside:
-            comment = None if comment in text else comment
-        elif text[0] in "/\"'#-":
-            if text.startswith("/*"):
-                inside, comment = True, None if "*/" in text[2:] else "*/"
-            elif text.startswith(('"""', "'" * 3)):
-                inside, comment = True, None if text[:3] in text[3:] else text[:3]
-            elif text.startswith(("//", "#", "--")):
-                inside = True
+        inside, comment = comment_after(line, comment)
         own = _running(line, words)
         if own is None:
             continue
-        if inside:
-            if code is None:
-                code = any(map(_CODE.search, lines))
-            if code:
-                continue
-        running += _visible(line)
-        functions += sum(map(FUNCTION.__contains__, own))
+        where = "in_" if inside else ""
+        out[f"{where}running"] += _visible(line)
+        out[f"{where}functions"] += sum(map(FUNCTION.__contains__, own))
         after = [own[k + 1 : k + 2] for k, w in enumerate(own) if w in ARTICLES]
-        articles += len(after)
-        dangling += sum(1 for w in after if w and w[0] in FUNCTION) + len(_DANGLING.findall(line))
-        flat += own
-    total = distinct = 0
-    n = len(flat) - SEQUENCE + 1
-    if n > 0:
-        codes = np.fromiter([memory.setdefault(w, len(memory)) for w in flat], dtype=np.uint64, count=len(flat))
-        value = np.zeros(n, dtype=np.uint64)
-        for k in range(SEQUENCE):
-            value = value * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n] + np.uint64(1)
-        value.sort()
-        total, distinct = n, 1 + int(np.count_nonzero(value[1:] != value[:-1]))
-    return {"running": running, "sequences": total, "distinct": distinct, "functions": functions, "articles": articles, "dangling": dangling}
+        out[f"{where}articles"] += len(after)
+        out[f"{where}dangling"] += sum(1 for w in after if w and w[0] in FUNCTION) + len(_DANGLING.findall(line))
+        kept[where].append(own)
+    hashes = {}
+    for where, own in kept.items():
+        out[f"{where}sequences"], hashes[where] = _sequences(own, memory)
+        out[f"{where}distinct"] = len(hashes[where])
+    out["code"] = int((sure or bool(kept["in_"])) and any(map(_CODE.search, lines)))
+    return out, hashes
 
 
 def _is_word(c: str) -> bool:
@@ -134,24 +167,45 @@ def _last_visible(line: str) -> str:
     return line.rstrip()[-1:]
 
 
-def measure(text: str, memory: dict) -> dict:
-    """Partial counts of a chunk and the state at its ends."""
-    n_chars = len(text)
-    text = text.lower()
+def measure(raw: str, memory: WordHashes, comment: str | None = None, sure: bool = False) -> tuple[dict, dict[str, np.ndarray]]:
+    """Partial counts of a chunk with the state at its ends, and the hashes of its word sequences."""
+    text = raw.lower()
     lines = _LINE.split(text)
     filled = [x for x in lines if x and not x.isspace()]
     words_of = [WORD.findall(x) for x in filled]
     words = [w for own in words_of for w in own]
     out = {
-        "n_chars": n_chars, "n_words": len(words), "n_word_chars": sum(map(len, words)), "n_symbols": len(_SYMBOL.findall(text)), "n_lines": len(filled),
+        "n_chars": len(raw), "n_words": len(words), "n_word_chars": sum(map(len, words)), "n_symbols": len(_SYMBOL.findall(text)), "n_lines": len(filled),
         "n_ended": sum(_last_visible(x) in ENDS for x in filled), "n_common": sum(map(COMMON.__contains__, words)), "visible": _visible(text),
     }
-    out |= _prose_counts(filled, words_of, memory)
+    stretches = filled
+    if len(raw) > LINE and max(map(len, _LINE.split(raw))) > LINE:
+        stretches = [x.lower() for x in _stretches(raw) if x and not x.isspace()]
+        words_of = [WORD.findall(x) for x in stretches]
+    counts, hashes = _prose_counts(stretches, words_of, memory, comment, sure)
+    out |= counts
     head = words[0] if words and text and _is_word(text[0]) else ""
     tail = words[-1] if words and _is_word(text[-1]) else ""
     keep = LONGEST_COMMON + 1
     out |= {"head": head[:keep], "head_size": len(head), "tail": tail[:keep], "tail_size": len(tail), "one_word": len(words) == 1 and len(head) == len(text)}
-    return out | {"first": _last_visible(lines[0]), "last": _last_visible(lines[-1]), "one_line": len(lines) == 1}
+    return out | {"first": _last_visible(lines[0]), "last": _last_visible(lines[-1]), "one_line": len(lines) == 1}, hashes
+
+
+def cut(text: str, chunk: int = CHUNK) -> list[tuple[str, str | None]]:
+    """A text in chunks of about ``chunk`` characters, each with what ends the comment it begins in."""
+    out, begin, held, comment, entered = [], 0, 0, None, None
+    starts = [0, *(m.end() for m in _LINE.finditer(text))]
+    for start, end in zip(starts, [*starts[1:], len(text)]):
+        line = _LINE.split(text[start:end], 1)[0]
+        for k in range(0, max(len(line), 1), LINE):
+            at = start + k
+            if at > begin and min(at + LINE, end) - begin > chunk:
+                out.append((text[begin:at], entered))
+                begin, entered = at, comment
+            stretch = line[k : k + LINE]
+            if stretch and not stretch.isspace():
+                _, comment = comment_after(stretch, comment)
+    return [*out, (text[begin:], entered)]
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -175,15 +229,38 @@ def merge(a: dict, b: dict) -> dict:
     return out
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memory: dict[str, int] = {}
+def _columns(found: list[dict]) -> list[pa.Array]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    return [pa.array([x.get(c) for x in found], kinds[STATE.get(c, "long")]) for c in (*COUNTS, *STATE)]
+
+
+def _measured(chunk: int):
+    """Rows measured at once, or cut into chunks where they are long: those have a text and no counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
+        for batch in batches:
+            at, parts, found, texts, comments = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                pieces = cut(text, chunk) if text and len(text) > chunk else []
+                at += [i] * max(len(pieces), 1)
+                parts += range(max(len(pieces), 1))
+                found += [{} for _ in pieces] or [measure(text or "", memory)[0]]
+                texts += [p for p, _ in pieces] or [None]
+                comments += [c for _, c in pieces] or [None]
+            own = pa.array(at, pa.int64())
+            arrays = [batch.column("key").take(own), batch.column("row").take(own), pa.array(parts, pa.int32()), *_columns(found), pa.array(texts, pa.string()), pa.array(comments, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "row", "part", *COUNTS, *STATE, "text", "comment"])
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memory = WordHashes()
     for batch in batches:
-        if len(memory) > 500_000:
-            memory = {}
-        found = [measure(t or "", memory) for t in batch.column("text").to_pylist()]
-        names = [*COUNTS, "head", "head_size", "tail", "tail_size", "one_word", "first", "last", "one_line"]
-        columns = [pa.array([x[c] for x in found], pa.string() if c in ("head", "tail", "first", "last") else pa.bool_() if c.startswith("one_") else pa.int64()) for c in names]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), batch.column("part"), *columns], ["key", "row", "part", *names])
+        found = [measure(t, memory, c, sure=True) for t, c in zip(batch.column("text").to_pylist(), batch.column("comment").to_pylist())]
+        hashes = [pa.array([h[where].view(np.int64) for _, h in found], pa.list_(pa.int64())) for where in ("", "in_")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), batch.column("part"), *_columns([x for x, _ in found]), *hashes], ["key", "row", "part", *COUNTS, *STATE, "hashes", "in_hashes"])
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -194,17 +271,26 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([whole | {"key": found[0]["key"], "row": found[0]["row"], "part": found[0]["part"] // FAN_IN}])[list(rows.columns)]
 
 
-def quality(df: DataFrame, key: str, text: str) -> DataFrame:
+def _long(pieces: DataFrame, schema: str) -> DataFrame:
+    """Counts of the documents that were cut: chunks spread over tasks, merged in order, sequences distinct by document."""
+    chunks = materialize(pieces.repartition("row", "part").mapInArrow(_chunks, f"{schema}, hashes array<long>, in_hashes array<long>"), "chunks")
+    whole = chunks.drop("hashes", "in_hashes")
+    for _ in range(3):  # FAN_IN^3 chunks are more than a string can hold
+        whole = whole.groupBy("row", F.floor(F.col("part") / FAN_IN).alias("block")).applyInPandas(_fold, schema)
+    each = chunks.select("row", F.explode("hashes").alias("h"), F.lit(0).alias("inside")).unionByName(chunks.select("row", F.explode("in_hashes").alias("h"), F.lit(1).alias("inside")))
+    distinct = each.distinct().groupBy(F.col("row").alias("of")).agg(F.count_if(F.col("inside") == 0).alias("fresh"), F.count_if(F.col("inside") == 1).alias("in_fresh"))
+    joined = whole.join(distinct, F.col("row") == F.col("of"), "left")
+    return joined.withColumns({"distinct": F.coalesce("fresh", F.lit(0)), "in_distinct": F.coalesce("in_fresh", F.lit(0))}).select(*whole.columns)
+
+
+def quality(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """One row a row: ``key``, the statistics, the share of running text, and whether the document is prose."""
     schema = f"key {df.schema[key].dataType.simpleString()}, {SCHEMA}"
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.ceil(F.length(text) / CHUNK), F.lit(0)).cast("int").alias("parts"))
-    short = rows.where("parts <= 1").select("key", "row", F.lit(0).alias("part"), "text").mapInArrow(_measured, schema)
-    cut = rows.where("parts > 1").select("key", "row", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
-    cut = cut.select("key", "row", "part", F.expr(f"substring(text, part * {CHUNK} + 1, {CHUNK})").alias("text")).repartition("row", "part")
-    long = cut.mapInArrow(_measured, schema)
-    for _ in range(3):  # FAN_IN^3 chunks are more than a string can hold
-        long = long.groupBy("row", F.floor(F.col("part") / FAN_IN).alias("block")).applyInPandas(_fold, schema)
-    counts = short.unionByName(long)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    first = materialize(rows.mapInArrow(_measured(chunk), f"{schema}, text string, comment string"), "measured")  # the one scan of the texts
+    counts = first.where("text IS NULL").drop("text", "comment").unionByName(_long(first.where("text IS NOT NULL").select("key", "row", "part", "text", "comment"), schema))
+    for c in PROSE:  # comments count where there is no code
+        counts = counts.withColumn(c, F.col(c) + F.when(F.col("code") == 0, F.col(f"in_{c}")).otherwise(F.lit(0)))
     words, lines = F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("n_lines"), F.lit(0))
     fresh = F.when(F.col("sequences") > 0, F.col("distinct") / F.col("sequences")).otherwise(F.lit(1.0))
     # log odds of ordered against scrambled words: articles are 28 % of the function words of a text, 5 % of a scramble

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm import byte_bpe, function_docs, near_duplicates, packing, pieces, quality
 from sedimenta.llm.gll import Grammar
-from sedimenta.llm.words import WORD
+from sedimenta.llm.words import WORD, WordHashes
 
 needs_vocabulary = pytest.mark.skipif(not Path(byte_bpe.VOCABULARY).exists(), reason="no vocabulary file")
 
@@ -227,18 +227,65 @@ def test_a_description_of_the_whole_corpus_is_a_template(spark):
     assert found.pop(99) == "described" and set(found.values()) == {"template"}
 
 
-def test_chunks_of_any_size_give_the_counts_of_the_whole():
+def test_cuts_anywhere_give_the_counts_of_the_whole():
     rng = random.Random(2)
     text = "".join(rng.choice(["the ", "wörd", "中", " ", "\n", "\r\n", ".", "x_1", "，", "!"]) for _ in range(400))
     exact = [c for c in quality.COUNTS if c.startswith("n_") or c == "visible"]
-    whole = quality.measure(text, {})
+    whole, _ = quality.measure(text, WordHashes())
     for _ in range(60):
         cuts = sorted(rng.sample(range(1, len(text)), rng.randint(1, 60)))
-        parts = [quality.measure(text[a:b], {}) for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        total = parts[0]
-        for p in parts[1:]:
-            total = quality.merge(total, p)
-        assert {c: total[c] for c in exact} == {c: whole[c] for c in exact}
+        parts = [quality.measure(text[a:b], WordHashes())[0] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        assert {c: v for c, v in merged(parts).items() if c in exact} == {c: whole[c] for c in exact}
+
+
+def merged(parts):
+    total = parts[0]
+    for p in parts[1:]:
+        total = quality.merge(total, p)
+    return total
+
+
+def long_texts():
+    prose = "The reader of this note should know that the tool is not finished, and that we will change it when there is time for it. "
+    other = "When the old house was sold, nobody in the village knew who had bought it, but the lights were on in the night. "
+    comment = "/* " + prose + "\n" + other + "\n" + prose + "\n*/\n"
+    rng = random.Random(8)
+    mixed = "".join(rng.choice([prose, other, "\n", "\r\n", "x = f(1);\n", comment, '"""\n', "# " + other + "\n", "a | b | c\n", "在这里我们把所有的东西都先看了一下，然后就没有再说什么。\n", "word " * 40]) for _ in range(200))
+    passage = "".join(f"{prose[:-2]} {i}.\n" for i in range(40))
+    return [mixed, passage * 6, comment + passage + "x = f(1);\n", comment + passage, (prose + other) * 30, prose * 3 + "\n" + other]
+
+
+@pytest.mark.parametrize("line", [64, 1 << 13])
+def test_chunks_of_any_size_give_all_counts_of_the_whole(monkeypatch, line):
+    monkeypatch.setattr(quality, "LINE", line)
+    for text in long_texts():
+        whole, _ = quality.measure(text, WordHashes(), sure=True)
+        for chunk in (50, 333, 1000, 4096):
+            pieces = quality.cut(text, chunk)
+            assert "".join(p for p, _ in pieces) == text and all(len(p) <= max(chunk, line) + 2 for p, _ in pieces)
+            parts = [quality.measure(p, WordHashes(), c, sure=True) for p, c in pieces]
+            total = merged([x for x, _ in parts])
+            for where in ("", "in_"):
+                total[f"{where}distinct"] = len(np.unique(np.concatenate([h[where] for _, h in parts])))
+            total["code"] = int(total["code"] > 0)
+            assert {c: total[c] for c in quality.COUNTS} == {c: whole[c] for c in quality.COUNTS}
+
+
+def test_a_verdict_does_not_depend_on_the_chunk(spark):
+    rows = [(i, t) for i, t in enumerate([*long_texts(), None, "", "short"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "part": F.lit("x"), "key": F.lit(None), "comment": F.lit("y")})
+    whole, cut = (sorted(map(tuple, quality.quality(df, "doc_id", "text", chunk).collect())) for chunk in (1 << 16, 300))
+    assert whole == cut and len(whole) == len(rows)
+
+
+def test_a_repeated_passage_is_no_prose_at_any_length(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("bar", "tel", "mon", "gri", "sal") for b in ("ten", "low", "ing", "er", "ade")]
+    sentence = lambda: f"The {rng.choice(words)} of the {rng.choice(words)} was {rng.choice(words)} when the {rng.choice(words)} had a {rng.choice(words)} in it, and the {rng.choice(words)} knew. "
+    passage = "".join(sentence() for _ in range(900))[:65_490] + "\n"
+    df = spark.createDataFrame([(1, passage), (2, passage * 4), (3, "".join(sentence() for _ in range(900)) + "\n" + passage)], "doc_id long, text string")
+    assert {r.doc_id: r.prose for r in quality.quality(df, "doc_id", "text").collect()} == {1: True, 2: False, 3: True}
+
 
 
 def test_quality_edges(spark, monkeypatch):

@@ -49,6 +49,43 @@ def test_large_class_of_copies_is_a_star(spark):
     assert found == {(1, i) for i in range(2, 101)} | {(1, 500)}
 
 
+def test_texts_of_one_class_that_differ_give_all_their_pairs(spark):
+    words = [f"v{i}" for i in range(30)]
+    df = spark.createDataFrame([(i, " ".join(words) + "." * i) for i in range(70)] + [(1000 + i, " ".join(words) + "!") for i in range(70)], "id long, text string")
+    found = {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs({"t": df}).collect()}
+    shown = [*range(70), 1000]
+    assert found == set(itertools.combinations(shown, 2)) | {(1000, 1000 + i) for i in range(1, 70)}
+
+
+def test_hot_lists_are_split_and_lose_nothing(spark):
+    rng = random.Random(9)
+    header = [f"h{i}" for i in range(60)]
+    rows = [(i, " ".join(header + [rng.choice("abcdefgh") + str(rng.randint(0, 40)) for _ in range(rng.choice([20, 55, 90]))])) for i in range(150)]
+    texts = spark.createDataFrame(rows, "id long, text string").withColumn("tag", F.lit(0)).select("tag", "id", "text")
+    classes = texts.mapInArrow(near_duplicates._membership(20), "tag int, id long, cls long, copy long").groupBy("cls").agg(F.min("tag").alias("tag"), F.min("id").alias("head"))
+    of = {r.cls: r.head for r in classes.collect()}
+    sets = {i: words_set(t) for i, t in rows}
+    true = {(a, b) for a, b in itertools.combinations(sorted(of.values()), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert len(true) > 500
+    for limits in ({}, {"hot": 8, "segment": 4}, {"hot": 10**6, "hot_in_buffer": 10, "segment": 7}):
+        found = {tuple(sorted((of[r.a], of[r.b]))) for r in near_duplicates.class_links(texts, classes, 3, 20, 0.5, **limits).collect()}
+        assert found == true, limits
+
+
+def test_classes_that_share_half_of_their_name_are_told_apart():
+    import pyarrow as pa
+
+    names = np.array([7 << 32 | 1, 7 << 32 | 2, 9 << 32], dtype=np.uint64)
+    row = [pa.array([0], pa.int32()), *(pa.array([x.tobytes()]) for x in (np.zeros(3, np.uint32), names, np.full(3, 40, np.uint8)))]
+    out = list(near_duplicates._shared_blocks(0.5, 1, 2048)(iter([pa.RecordBatch.from_arrays(row, ["slice", "keys", "names", "extents"])])))
+    assert {(r["a"], r["b"], r["n"]) for b in out for r in b.to_pylist()} == {(int(a), int(b), 1) for a, b in itertools.combinations(names, 2)}
+
+
+def test_missed_share_is_as_stated():
+    assert near_duplicates.missed(0.5, 50_000) < 6e-4 and near_duplicates.missed(0.6, 50_000) == 0
+    assert near_duplicates.least_matches(0.5) == 128
+
+
 def test_groups_follow_links(spark):
     base = [f"v{i}" for i in range(60)]
     rows = [(9, base), (4, base[:45] + ["x"] * 3), (7, base[:45] + ["x"] * 3), (5, ["far"] * 5 + [f"u{i}" for i in range(30)]), (6, ["short"])]

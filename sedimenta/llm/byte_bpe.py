@@ -274,6 +274,29 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) ->
     return rows.mapInArrow(_encode(vocabulary, False), f"key {df.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
 
+def _decode(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = token_bytes(vocabulary)
+        for batch in batches:
+            texts = [b"".join([pieces[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
+
+    return run
+
+
+def token_bytes(vocabulary: str = VOCABULARY) -> dict[int, bytes]:
+    """The bytes of each token id."""
+    alphabet = byte_alphabet()
+    tokens = json.loads(open(vocabulary, encoding="utf-8").read())["model"]["vocab"]
+    return {i: bytes(alphabet[c] for c in t) for t, i in tokens.items() if all(c in alphabet for c in t)}
+
+
+def decode(df: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, text) of every row of token ids; null and empty lists give an empty text."""
+    rows = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    return rows.mapInArrow(_decode(vocabulary), f"key {df.schema[key].dataType.simpleString()}, text string").withColumnRenamed("key", key)
+
+
 def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens) of every row."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))

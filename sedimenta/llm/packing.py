@@ -9,7 +9,7 @@ percent of its space, as one group of all documents would.
 Defined results: a document above the capacity is cut into full pieces, each a container of its own, and a rest that
 is packed like a document; a document without tokens takes a place in a container but no space; every row gets a
 place, repeated ids too; ties go to the smaller row number, then to the earlier sequence. Container numbers are
-unique, not dense: group * 2^20 + number within the group.
+unique, not dense: group * 2^32 + number within the group.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from sedimenta.sources import materialize
 
 GROUP = 4096
+CAPACITY = 2048
 QUADRATIC = 1 / 512
 
 
@@ -61,13 +62,13 @@ def _pack(capacity: int, schema_key: str):
         out = pd.DataFrame({"key": rows["key"].to_numpy()[at], "piece_no": np.concatenate([number, full[packed]]).astype(np.int32)})
         out["start"] = out["piece_no"].to_numpy(np.int64) * capacity
         out["n_tokens"] = np.concatenate([np.full(len(own), capacity), rest[packed]])
-        out["container"] = (np.int64(rows["part"].iloc[0]) << 20) + np.concatenate([base + np.arange(len(own)), place])
+        out["container"] = (np.int64(rows["part"].iloc[0]) << 32) + np.concatenate([base + np.arange(len(own)), place])
         return out
 
     return run
 
 
-def pack_documents(sizes: DataFrame, key: str, n_tokens: str, capacity: int = 2048) -> DataFrame:
+def pack_documents(sizes: DataFrame, key: str, n_tokens: str, capacity: int = CAPACITY) -> DataFrame:
     """(key, piece_no, start, n_tokens, container): where each document, or piece of one, goes."""
     rows = sizes.select(F.col(key).alias("key"), F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)).alias("n_tokens")).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "sizes")

@@ -133,32 +133,37 @@ def _membership(min_words: int):
     return run
 
 
+POSTINGS = ("slice", "keys", "refs", "names", "extents")
+
+
 def _postings(min_words: int, width: int, slices: int, hot: int):
     """Packed postings, a row a slice. Those of a key that a buffer has more than ``hot`` times go to partitions behind
     the slices, and the slice is told of the key by one posting of class 0."""
 
     def pack(keys: list, classes: list, extents: list) -> pa.RecordBatch:
-        key, cls = np.concatenate(keys).ravel(), np.repeat(np.concatenate(classes), BLOCKS)
+        key, known, sizes_of = np.concatenate(keys).ravel(), np.append(np.concatenate(classes), np.uint64(0)), np.append(np.concatenate(extents), np.uint8(0))
         at, key = key % np.uint64(slices), key >> np.uint64(32)
         order = np.argsort(at << np.uint64(32) | key)
-        at, key, cls, extent = at[order], key[order], cls[order], np.repeat(np.concatenate(extents), BLOCKS)[order]
+        at, key, own = at[order], key[order], np.repeat(np.arange(len(known) - 1), BLOCKS)[order]
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (key[1:] != key[:-1])]))
         sizes = np.diff(np.append(first, len(key)))
         often = np.repeat(sizes > hot, sizes)
-        lists, beside = (at << np.uint64(32) | key)[often], cls[often]
-        cls[first[sizes > hot]] = 0
+        lists, beside = (at << np.uint64(32) | key)[often], known[own[often]]
+        own[first[sizes > hot]] = len(known) - 1
         keep = ~often
         keep[first] = True
-        at, columns = at[keep], (key[keep].astype(np.uint32), cls[keep], extent[keep])
+        at, key, own = at[keep], key[keep].astype(np.uint32), own[keep]
         cut = np.searchsorted(at, np.arange(slices + 1, dtype=np.uint64))
-        own = np.flatnonzero(cut[1:] > cut[:-1])
-        packed = [[column[cut[s] : cut[s + 1]].tobytes() for s in own] for column in columns]
-        numbers = own.tolist()
+        rows = []
+        for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            local = own[cut[s] : cut[s + 1]]
+            names, refs = np.unique(local, return_inverse=True)
+            if 9 * len(names) + 2 * len(local) > 9 * len(local) or len(names) > 1 << 16:  # a list of the classes only where it takes less room
+                names, refs = local, local[:0]
+            rows.append((s, key[cut[s] : cut[s + 1]].tobytes(), refs.astype(np.uint16).tobytes(), known[names].tobytes(), sizes_of[names].tobytes()))
         if len(lists):
-            numbers.append(slices + int(beside[0] % np.uint64(slices)))
-            for column, value in zip(packed, (lists.tobytes(), beside.tobytes(), b"")):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in packed]], ["slice", "keys", "names", "extents"])
+            rows.append((slices + int(beside[0] % np.uint64(slices)), lists.tobytes(), b"", beside.tobytes(), b""))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], list(POSTINGS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seen, keys, classes, extents, held = WordHashes(), set(), [], [], [], 0
@@ -208,19 +213,23 @@ def _shared_blocks(threshold: float, slices: int, hot: int):
     reach = int(np.ceil(8 * np.log2(1 / threshold))) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: dict[str, list] = {"keys": [], "names": [], "extents": []}
+        columns: tuple[list, list, list] = ([], [], [])
         number = 0
         for batch in batches:
             for i, number in enumerate(batch.column("slice").to_pylist()):
-                own = [batch.column(c)[i].as_buffer() for c in columns]
+                key, refs, names, extents = (batch.column(c)[i].as_buffer() for c in POSTINGS[1:])
+                names, refs = np.frombuffer(names, dtype=np.uint64), np.frombuffer(refs, dtype=np.uint16)
                 if number >= slices:
-                    yield _rows(np.frombuffer(own[0], dtype=np.uint64), np.frombuffer(own[1], dtype=np.uint64), -1)
+                    yield _rows(np.frombuffer(key, dtype=np.uint64), names, -1)
                     continue
-                for parts, buffer, kind in zip(columns.values(), own, (np.uint32, np.uint64, np.uint8)):
-                    parts.append(np.frombuffer(buffer, dtype=kind))
-        if not columns["keys"]:
+                extents = np.frombuffer(extents, dtype=np.uint8)
+                for parts, own in zip(columns, (np.frombuffer(key, dtype=np.uint32), names[refs] if len(refs) else names, extents[refs] if len(refs) else extents)):
+                    parts.append(own)
+        if not columns[0]:
             return
-        key, cls, extent = (np.concatenate(columns.pop(c)) for c in ("keys", "names", "extents"))
+        key, cls, extent = (np.concatenate(parts) for parts in columns)
+        for parts in columns:
+            parts.clear()
         order = np.argsort(key.astype(np.uint64) << np.uint64(32) | cls >> np.uint64(32))
         key, cls, extent = key[order], cls[order], extent[order].astype(np.int16)
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
@@ -330,7 +339,7 @@ def class_links(texts: DataFrame, classes: DataFrame, width: int, min_words: int
     """Pairs (a, b) of classes whose texts differ and are at least ``threshold`` similar."""
     spark, least = texts.sparkSession, least_matches(threshold)
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * BLOCKS // SLICE_POSTINGS))
-    packed = texts.select("tag", "text").mapInArrow(_postings(min_words, width, slices, hot_in_buffer), "slice int, keys binary, names binary, extents binary")
+    packed = texts.select("tag", "text").mapInArrow(_postings(min_words, width, slices, hot_in_buffer), "slice int, keys binary, refs binary, names binary, extents binary")
     shared = packed.repartitionById(2 * slices, F.col("slice")).mapInArrow(_shared_blocks(threshold, slices, hot), "a long, b long, n int")
     counted = materialize(shared.groupBy("a", "b").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_BLOCKS) | (F.col("n") < 0)), "counted")
     pairs, lists = counted.where("n > 0").select("a", "b"), counted.where("n < 0").select(F.col("a").alias("list"), F.col("b").alias("cls"))

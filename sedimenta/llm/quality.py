@@ -55,7 +55,6 @@ COMMON = FUNCTION | CHINESE
 _DANGLING = re.compile(r"\b(?:the|an?|of|to|and|from|or|with|for|at|by|as|was|were|when|der|die|das|den|dem|und|von|mit|el|la|los|las|y|de|en|con|por)[.!?,;](?=\s|$)")
 
 _LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-_SYMBOL = re.compile(r"[^\w\s]")
 _STRAY = re.compile(r"[#$%&*+/<=>@\[\\\]^{|}~]")
 _TAGS = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|\w+://\S+")
 _CODE = re.compile(
@@ -118,11 +117,14 @@ def _sequences(lines: list[list[str]], memory: WordHashes) -> tuple[int, np.ndar
     """How many sequences of ``SEQUENCE`` words the lines have (a shorter line is one), and their distinct hashes."""
     if not lines:
         return 0, np.empty(0, dtype=np.uint64)
-    sizes = np.array([max(len(x), SEQUENCE) for x in lines])
-    codes = np.zeros(int(sizes.sum()), dtype=np.uint64)
-    ends = np.cumsum(sizes)
-    used = np.arange(len(codes)) < np.repeat(ends - sizes + [len(x) for x in lines], sizes)
-    codes[used] = np.fromiter((memory[w] for x in lines for w in x), dtype=np.uint64, count=int(used.sum()))
+    flat: list[str] = []
+    ends = []
+    for x in lines:
+        flat += x
+        if len(x) < SEQUENCE:
+            flat += [""] * (SEQUENCE - len(x))
+        ends.append(len(flat))
+    codes, ends = np.fromiter(map(memory.__getitem__, flat), dtype=np.uint64, count=len(flat)), np.array(ends)
     n = len(codes) - SEQUENCE + 1
     value = np.zeros(n, dtype=np.uint64)
     for k in range(SEQUENCE):
@@ -174,9 +176,10 @@ def measure(raw: str, memory: WordHashes, comment: str | None = None, sure: bool
     filled = [x for x in lines if x and not x.isspace()]
     words_of = [WORD.findall(x) for x in filled]
     words = [w for own in words_of for w in own]
+    visible, in_words = _visible(text), sum(map(len, words))  # what is visible and in no word is a symbol
     out = {
-        "n_chars": len(raw), "n_words": len(words), "n_word_chars": sum(map(len, words)), "n_symbols": len(_SYMBOL.findall(text)), "n_lines": len(filled),
-        "n_ended": sum(_last_visible(x) in ENDS for x in filled), "n_common": sum(map(COMMON.__contains__, words)), "visible": _visible(text),
+        "n_chars": len(raw), "n_words": len(words), "n_word_chars": in_words, "n_symbols": visible - in_words, "n_lines": len(filled),
+        "n_ended": sum(_last_visible(x) in ENDS for x in filled), "n_common": sum(map(COMMON.__contains__, words)), "visible": visible,
     }
     stretches = filled
     if len(raw) > LINE and max(map(len, _LINE.split(raw))) > LINE:

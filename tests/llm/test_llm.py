@@ -76,8 +76,8 @@ def test_classes_that_share_half_of_their_name_are_told_apart():
     import pyarrow as pa
 
     names = np.array([7 << 32 | 1, 7 << 32 | 2, 9 << 32], dtype=np.uint64)
-    row = [pa.array([0], pa.int32()), *(pa.array([x.tobytes()]) for x in (np.zeros(3, np.uint32), names, np.full(3, 40, np.uint8)))]
-    out = list(near_duplicates._shared_blocks(0.5, 1, 2048)(iter([pa.RecordBatch.from_arrays(row, ["slice", "keys", "names", "extents"])])))
+    row = [pa.array([0], pa.int32()), *(pa.array([x.tobytes()]) for x in (np.zeros(3, np.uint32), np.empty(0, np.uint16), names, np.full(3, 40, np.uint8)))]
+    out = list(near_duplicates._shared_blocks(0.5, 1, 2048)(iter([pa.RecordBatch.from_arrays(row, list(near_duplicates.POSTINGS))])))
     assert {(r["a"], r["b"], r["n"]) for b in out for r in b.to_pylist()} == {(int(a), int(b), 1) for a, b in itertools.combinations(names, 2)}
 
 

@@ -9,7 +9,7 @@ them alone, so an edit changes the pieces next to it and the later ones fall bac
 Defined results: only texts of more than ``limit`` code points are cut; null and empty texts never are. A piece has
 at most ``size`` characters, exactly ``overlap`` of which repeat the end of the piece before it (so an overlap, unlike
 a cut, may begin anywhere). Without the overlaps the pieces add up to the text. Of repeated rows of an id only those of
-its latest time count, and of these the largest.
+its latest time count, and of these the largest. Rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def cut_oversized(df: DataFrame, key: str, text: str, keep: list[str], order: st
     """(key, kept columns, piece_no, start, piece) of the texts above ``limit``; ``order`` tells the latest of repeated rows."""
     latest = df.groupBy(F.col(key).alias("of")).agg(F.max(order).alias("latest"))  # without the texts
     long = df.where(F.length(text) > limit).select(F.col(key).alias("key"), F.struct(F.col(order).alias("o"), F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("s"))
-    long = long.join(latest, F.col("key").eqNullSafe(F.col("of")) & F.col("s.o").eqNullSafe(F.col("latest")))
+    long = long.join(latest, F.col("key") == F.col("of")).where(F.col("s.o").eqNullSafe(F.col("latest")))
     one = long.groupBy("key").agg(F.max("s").alias("s")).select("key", *[f"s.k{i}" for i in range(len(keep))], "s.text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.schema.fields if f.name != "text")
     pieces = one.mapInArrow(_cut(size, overlap, least), f"{kinds}, piece_no int, start int, piece string")

@@ -36,6 +36,16 @@ def summary(metrics: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("composite", F.round(0.35 * F.col("hit4") + 0.25 * F.col("rr") + 0.2 * F.col("recall8") + 0.2 * F.col("precision4"), 6))
 
 
+def keep_snapshots(runs: DataFrame, at: str, most: int = 50, days: int = 30) -> DataFrame:
+    """The newest ``most`` summaries of runs within ``days`` of the newest, each marked if it is the best by composite
+    (of equals the newer)."""
+    last = runs.agg(F.max(at).alias("last_run"))
+    kept = runs.crossJoin(F.broadcast(last)).where(F.col(at) > F.expr(f"last_run - INTERVAL {days} DAYS")).drop("last_run")  # one row
+    kept = kept.orderBy(F.col(at).desc()).limit(most)  # the retention itself
+    best = kept.agg(F.max(F.struct("composite", at)).alias("top"))
+    return kept.crossJoin(F.broadcast(best)).withColumn("best", (F.col("composite") == F.col("top.composite")) & (F.col(at) == F.col(f"top.{at}"))).drop("top")
+
+
 def grid(spark: SparkSession, ks: Sequence[int], cuts: Sequence[int], floors: Sequence[float]) -> DataFrame:
     """The defaults as ``baseline`` and all combinations; a cut above its k is left out. As many rows as the lists make."""
     rows = [("baseline", *BASELINE)] + [(f"k{k}-n{n}-f{f}", k, n, f) for k in ks for n in cuts for f in floors if n <= k]

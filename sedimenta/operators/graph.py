@@ -30,6 +30,47 @@ def upsert(edges: DataFrame, changes: DataFrame) -> DataFrame:
     return edges.unionByName(changes).groupBy("src", "dst", "type").agg(F.max("created_at").alias("created_at"))
 
 
+def detach(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges that stay when nodes (id) are deleted with all they are tied to."""
+    ids = gone.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+
+
+def suggested(judgements: DataFrame, key: str, answer: str, documents: DataFrame) -> DataFrame:
+    """(src, dst, type) of a judge's JSON answers, ``[{"targetId": 3, "type": "EXTENDS"}]``: targets that aren't documents,
+    the document itself, unknown types and broken answers are dropped."""
+    parsed = F.from_json(F.col(answer), "array<struct<targetId:long,type:string>>")
+    rows = judgements.select(F.col(key).alias("src"), F.explode(parsed).alias("r")).select("src", F.col("r.targetId").alias("dst"), F.upper("r.type").alias("type"))
+    known = rows.where((F.col("src") != F.col("dst")) & F.col("type").isin(list(WEIGHTS))).distinct()
+    return known.join(documents.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type")
+
+
+def shortest_paths(sources: DataFrame, edges: DataFrame, hops: int = 10) -> DataFrame:
+    """(source, node, hops, path): a shortest path to every node within ``hops``, as the nodes behind the source; of
+    several the smallest. A round looks at the edges of the frontier only."""
+    steps = edges.select("src", "dst").distinct()
+    frontier = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.array().cast("array<long>").alias("path")).distinct()
+    seen = frontier
+    for h in range(1, hops + 1):
+        met = frontier.join(steps, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        new = met.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        frontier = materialize(new.select("source", "node", F.lit(h).alias("hops"), "path"), "paths")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("hops > 0")
+
+
+def chain(links: DataFrame, key: str, item: str, width: int = 4096) -> DataFrame:
+    """Adds ``before``: the next smaller item of the same key. Neighbours are found within stretches of ``width`` items'
+    values, and the first of a stretch follows the last of the key's stretch before it, so a hot key is many groups."""
+    rows = links.withColumn("stretch", F.floor(F.col(item) / width))
+    ends = rows.groupBy(key, "stretch").agg(F.max(item).alias("last"))
+    ends = ends.withColumn("previous", F.lag("last").over(Window.partitionBy(key).orderBy("stretch"))).drop("last")
+    near = F.lag(item).over(Window.partitionBy(key, "stretch").orderBy(item))
+    return rows.withColumn("near", near).join(ends, [key, "stretch"]).withColumn("before", F.coalesce("near", "previous")).drop("near", "previous", "stretch")
+
+
 def reach(sources: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
     """(source, node, hops, types): nodes within ``hops`` of each source in the edges' direction, at their least number
     of hops, with the types on the shortest paths. The source itself is left out; cycles end by themselves.

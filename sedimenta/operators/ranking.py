@@ -113,8 +113,21 @@ def position_bonus(seq: Column) -> Column:
     return F.when(F.coalesce(seq, F.lit(0)) <= 0, 0.0).otherwise(F.floor(0.2 * F.greatest(F.lit(0.0), 1 - (seq - 1) / 10) * 100 + 0.5) / 100)
 
 
-def rerank(hits: DataFrame, top_n: int) -> DataFrame:
-    """Feature rerank of (query_id, chunk_id, score, question, content, file_name, seq)."""
+def call_bonus(hits: DataFrame, callers: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, bonus): half a point for each asked term whose callers are in the hit's file, and for each whose
+    callers' file is named in it; at most one. ``hits``: query_id, chunk_id, project_id, file_text, terms; ``callers``:
+    project_id, term, file, in lower case."""
+    asked = hits.where(F.col("project_id").isNotNull()).select("query_id", "chunk_id", "project_id", F.col("file_text").alias("file"), F.explode("terms").alias("term"))
+    exact = asked.join(callers.select("project_id", "term", "file").distinct(), ["project_id", "term", "file"], "left_semi").select("query_id", "chunk_id")
+    base = F.regexp_replace(F.regexp_replace("file", r".*/", ""), r"\.java", "").alias("base")
+    bases = callers.select("project_id", "term", base).where("base != ''").distinct()
+    named = asked.join(bases, ["project_id", "term"]).where(F.contains("file", "base")).select("query_id", "chunk_id", "term").distinct().drop("term")
+    return exact.unionByName(named).groupBy("query_id", "chunk_id").agg(F.least(F.lit(1.0), 0.5 * F.count(F.lit(1))).alias("bonus"))
+
+
+def rerank(hits: DataFrame, top_n: int, callers: DataFrame | None = None) -> DataFrame:
+    """Feature rerank of (query_id, chunk_id, score, question, content, file_name, seq); with ``callers`` (project_id, term,
+    file) and a project_id, what calls the asked names adds up to 0.05."""
     # what a lambda refers to is computed before it, in a projection of its own, else it would be computed per element
     content, file = F.coalesce("content", F.lit("")), F.lower(F.coalesce("file_name", F.lit("")))
     hits = hits.withColumns({"terms": code_terms(F.col("question")), "all_text": F.lower(F.concat_ws(" ", content, F.coalesce("file_name", F.lit("")))), "file_text": file, "bare": F.regexp_replace(F.lower(content), r"[^\p{L}\p{N}]", "")})
@@ -122,7 +135,10 @@ def rerank(hits: DataFrame, top_n: int) -> DataFrame:
     terms, text = F.col("terms"), F.col("all_text")
     path = F.when(F.exists(terms, lambda t: F.contains(F.col("file_text"), t)), 1.0).otherwise(0.0)
     score = 0.4 * F.col("score") + 0.2 * share_in(terms, text) + 0.2 * path + 0.1 * coverage(F.col("question"), F.col("bare")) + 0.1 * position_bonus(F.col("seq"))
-    return top_k(hits.withColumn("score", round4(score)).drop("rank", "terms", "all_text", "file_text", "bare"), top_n)
+    if callers is not None:
+        hits = hits.join(call_bonus(hits, callers), ["query_id", "chunk_id"], "left")
+        score = score + 0.05 * F.coalesce("bonus", F.lit(0.0))
+    return top_k(hits.withColumn("score", round4(score)).drop("rank", "terms", "all_text", "file_text", "bare", "bonus"), top_n)
 
 
 def cross_fuse(hits: DataFrame, judgements: DataFrame, weight: float, top_n: int) -> DataFrame:

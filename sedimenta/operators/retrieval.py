@@ -109,23 +109,23 @@ def _asked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(keys)], ["query_id", "gram"])
 
 
-def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Ids and bare texts of at most ``TEXT_BLOCK`` chunks and, but for one longer text, ``TEXT_CHARACTERS`` characters."""
+def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Ids, bare texts and levels of at most ``TEXT_BLOCK`` chunks and, but for one longer text, ``TEXT_CHARACTERS`` characters."""
     for batch in batches:
-        ids, texts = np.asarray(batch.column("chunk_id").to_pylist(), dtype=np.int64), batch.column("bare").to_pylist()
+        ids, texts, levels = np.asarray(batch.column("chunk_id").to_pylist(), dtype=np.int64), batch.column("bare").to_pylist(), np.asarray(batch.column("level").to_pylist(), dtype=np.int64)
         at = size = 0
         for i, text in enumerate(texts):
             if i > at and (i - at == TEXT_BLOCK or size + len(text) > TEXT_CHARACTERS):
-                yield ids[at:i], texts[at:i]
+                yield ids[at:i], texts[at:i], levels[at:i]
                 at, size = i, 0
             size += len(text)
         if texts:
-            yield ids[at:], texts[at:]
+            yield ids[at:], texts[at:], levels[at:]
 
 
 def _held_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, df): in how many chunks of a block each pair stands."""
-    for _, texts in _text_blocks(batches):
+    for _, texts, _ in _text_blocks(batches):
         rows, keys = _pair_keys(texts)
         grams, held = np.unique(keys, return_inverse=True)
         df = np.bincount(np.unique(rows * len(grams) + held) % max(len(grams), 1), minlength=len(grams))
@@ -134,13 +134,13 @@ def _held_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of chunks: ids, sizes, distinct pairs, and each pair's count in a chunk as (row, position, tf)."""
-    for ids, texts in _text_blocks(batches):
+    for ids, texts, levels in _text_blocks(batches):
         rows, keys = _pair_keys(texts)
         grams, held = np.unique(keys, return_inverse=True)
         cells, tf = np.unique(rows * len(grams) + held, return_counts=True)
         row, at = np.divmod(cells, max(len(grams), 1))
         sizes = np.asarray([len(t) - 1 for t in texts], dtype=np.int64)
-        yield _as_row({"ids": ids, "sizes": sizes, "grams": grams, "rows": row.astype(np.int32), "at": at.astype(np.int32), "tf": tf.astype(np.int32)})
+        yield _as_row({"ids": ids, "sizes": sizes, "grams": grams, "rows": row.astype(np.int32), "at": at.astype(np.int32), "tf": tf.astype(np.int32), "levels": levels})
 
 
 def _packed_questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +148,10 @@ def _packed_questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         for start in range(0, batch.num_rows, QUERY_BLOCK):
             part = batch.slice(start, QUERY_BLOCK).to_pydict()
+            masks = np.asarray(part["mask"], dtype=np.int64)
             grams, at = np.unique(np.concatenate([np.asarray(g, dtype=np.int64) for g in part["grams"]]), return_inverse=True)
             row = np.repeat(np.arange(len(part["grams"]), dtype=np.int32), [len(g) for g in part["grams"]])
-            yield _as_row({"ids": np.asarray(part["query_id"], dtype=np.int64), "grams": grams, "rows": row, "at": at.astype(np.int32), "idf": np.concatenate([np.asarray(x, dtype=np.float64) for x in part["idf"]])})
+            yield _as_row({"ids": np.asarray(part["query_id"], dtype=np.int64), "grams": grams, "rows": row, "at": at.astype(np.int32), "idf": np.concatenate([np.asarray(x, dtype=np.float64) for x in part["idf"]]), "masks": masks})
 
 
 def _as_row(parts: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -158,7 +159,7 @@ def _as_row(parts: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _best_by_pairs(k: int, k1: float, b: float, mean_size: float):
-    kinds = {"q_ids": np.int64, "q_grams": np.int64, "q_rows": np.int32, "q_at": np.int32, "q_idf": np.float64, "c_ids": np.int64, "c_sizes": np.int64, "c_grams": np.int64, "c_rows": np.int32, "c_at": np.int32, "c_tf": np.int32}
+    kinds = {"q_ids": np.int64, "q_grams": np.int64, "q_rows": np.int32, "q_at": np.int32, "q_idf": np.float64, "c_ids": np.int64, "c_sizes": np.int64, "c_grams": np.int64, "c_rows": np.int32, "c_at": np.int32, "c_tf": np.int32, "q_masks": np.int64, "c_levels": np.int64}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,6 +178,7 @@ def _best_by_pairs(k: int, k1: float, b: float, mean_size: float):
                     q[x["q_rows"][of_q], q_column[of_q] - first] = x["q_idf"][of_q]
                     c[x["c_rows"][of_c], c_column[of_c] - first] = weight[of_c]
                     score += q @ c.T
+                score *= x["q_masks"][:, None] >> x["c_levels"][None, :] & 1
                 rounded = np.where(score > 0, np.round(score, 6), -1.0)
                 least = np.partition(rounded, -k, axis=1)[:, -k, None] if rounded.shape[1] > k else -1.0
                 qi, ci = np.nonzero((rounded >= least) & (score > 0))
@@ -195,18 +197,23 @@ def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b
     Every gram counts, however many chunks hold it. No postings are joined: blocks of queries meet blocks of chunks, and
     their scores are a matrix product over the grams both hold. Each pair of blocks gives its best ``k`` per query, so
     what is shuffled is k rows a query and block of chunks, and a gram that stands in every chunk is one column like any.
+    With ``levels`` (array<int>) at the queries, a query's hits are of these levels (1 to 62) of the corpus only.
     """
+    masked = "levels" in queries.columns
+    mask = F.aggregate("levels", F.lit(0).cast("long"), lambda m, v: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v))) if masked else F.lit(1).cast("long")
+    masks = queries.select("query_id", F.coalesce(mask, F.lit(0)).alias("mask"))
+    level = F.coalesce(F.col("level").cast("long"), F.lit(0)) if masked else F.lit(0).cast("long")
     asked = queries.where(F.col("text").isNotNull()).select("query_id", _bare(F.col("text")).alias("bare")).mapInArrow(_asked_pairs, "query_id long, gram long").distinct()
     # spread before the scan's few partitions meet all query blocks, and written once as it is read three times
-    texts = materialize(corpus.select("chunk_id", _bare(F.col("text")).alias("bare")).where("length(bare) > 1").repartition("chunk_id"), "texts")
+    texts = materialize(corpus.select("chunk_id", _bare(F.col("text")).alias("bare"), level.alias("level")).where("length(bare) > 1").repartition("chunk_id"), "texts")
     n, mean_size = texts.agg(F.count(F.lit(1)), F.avg(F.length("bare") - 1)).first()
     held = texts.mapInArrow(_held_pairs, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = asked.join(held, "gram").groupBy("query_id").agg(F.collect_list(F.struct("gram", idf.alias("idf"))).alias("g")).select("query_id", F.col("g.gram").alias("grams"), F.col("g.idf").alias("idf"))
-    q = materialize(known.mapInArrow(_packed_questions, "ids binary, grams binary, rows binary, at binary, idf binary").toDF("q_ids", "q_grams", "q_rows", "q_at", "q_idf"), "questions")
+    known = asked.join(held, "gram").groupBy("query_id").agg(F.collect_list(F.struct("gram", idf.alias("idf"))).alias("g")).select("query_id", F.col("g.gram").alias("grams"), F.col("g.idf").alias("idf")).join(masks, "query_id")
+    q = materialize(known.mapInArrow(_packed_questions, "ids binary, grams binary, rows binary, at binary, idf binary, masks binary").toDF("q_ids", "q_grams", "q_rows", "q_at", "q_idf", "q_masks"), "questions")
     size = q.agg(F.coalesce(F.sum(sum(F.length(c) for c in q.columns)), F.lit(0))).first()[0]
     q = F.broadcast(q) if size <= BROADCAST_BYTES else q
-    c = texts.mapInArrow(_packed_texts, "ids binary, sizes binary, grams binary, rows binary, at binary, tf binary").toDF("c_ids", "c_sizes", "c_grams", "c_rows", "c_at", "c_tf")
+    c = texts.mapInArrow(_packed_texts, "ids binary, sizes binary, grams binary, rows binary, at binary, tf binary, levels binary").toDF("c_ids", "c_sizes", "c_grams", "c_rows", "c_at", "c_tf", "c_levels")
     best = c.crossJoin(q).mapInArrow(_best_by_pairs(k, k1, b, mean_size or 1.0), "query_id long, chunk_id long, score double")
     return top_k(best, k)
 

@@ -23,31 +23,36 @@ def attempts_in_window(df: DataFrame, keys: Sequence[str], ts: str, seconds: int
     return df.withColumn("attempts", F.count(F.lit(1)).over(recent))
 
 
-def limit_rate(df: DataFrame, keys: str | Sequence[str], ts: str, record: str, capacity: int, seconds: int) -> DataFrame:
+def limit_rate(df: DataFrame, keys: str | Sequence[str], ts: str, record: str, capacity: int, seconds: int, accepted: DataFrame | None = None) -> DataFrame:
     """The exact sliding-window limiter: a row is accepted if fewer than ``capacity`` accepted rows lie in the window.
 
     Only accepted rows count, which no window function can say. Rows are sorted within partitions by key and time and
     folded in one pass; the fold keeps at most ``capacity`` times of the current key, so a hot key needs no memory.
+    ``accepted`` (keys, ts) are rows accepted before.
     """
     window, keys = seconds * 1_000_000, [keys] if isinstance(keys, str) else list(keys)
     parts = [f"k{i}" for i in range(len(keys))]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = object(), []
+        current, kept = object(), []
         for rows in batches:
             verdicts = []
-            for *k, at in zip(*(rows[p] for p in parts), rows["at"]):
+            for *k, at, before in zip(*(rows[p] for p in parts), rows["at"], rows["before"]):
                 if k != current:
-                    current, accepted = k, []
-                while accepted and accepted[0] <= at - window:
-                    accepted.pop(0)
-                allowed = len(accepted) < capacity
+                    current, kept = k, []
+                while kept and kept[0] <= at - window:
+                    kept.pop(0)
+                allowed = before or len(kept) < capacity
                 if allowed:
-                    accepted.append(at)
+                    kept.append(at)
                 verdicts.append(allowed)
-            yield pd.DataFrame({record: rows[record], "allowed": verdicts})
+            yield pd.DataFrame({record: rows[record], "allowed": verdicts})[~rows["before"]]
 
-    rows = df.where(F.col(ts).isNotNull()).dropna(subset=keys).select(*[F.col(k).alias(p) for k, p in zip(keys, parts)], micros(ts).alias("at"), record)
+    def shaped(x: DataFrame, before: bool) -> DataFrame:
+        own = F.lit(None).cast(df.schema[record].dataType).alias(record) if before else F.col(record)
+        return x.where(F.col(ts).isNotNull()).dropna(subset=keys).select(*[F.col(k).alias(p) for k, p in zip(keys, parts)], micros(ts).alias("at"), own, F.lit(before).alias("before"))
+
+    rows = shaped(df, False) if accepted is None else shaped(df, False).unionByName(shaped(accepted, True))
     kind = rows.schema[record].dataType.simpleString()
     return rows.repartition(*parts).sortWithinPartitions(*parts, "at", record).mapInPandas(fold, f"{record} {kind}, allowed boolean")
 

@@ -29,10 +29,10 @@ def hard_split(df: DataFrame, key: str, text: str, size: int, overlap: int) -> D
 
 
 def mask(text: Column, words: Sequence[str], ignore_case: bool = False) -> Column:
-    """Each listed word replaced by as many stars; longer words go first, so the longest match wins."""
-    for w in sorted(words, key=lambda w: (-len(w), w)):
-        text = F.regexp_replace(text, F.lit(("(?i)" if ignore_case else "") + re.escape(w)), F.lit("*" * len(w)))
-    return text
+    """Listed words replaced by as many stars in one pass from the left, at each place the longest word that is there."""
+    pattern = F.lit(("(?i)" if ignore_case else "") + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))))
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.array_join(F.zip_with(gaps, found, lambda g, w: F.concat(g, F.coalesce(F.call_function("repeat", F.lit("*"), F.length(w)), F.lit("")))), "")
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
@@ -111,19 +111,100 @@ def sections(text: str) -> list[tuple[str, int, str]]:
     return [(h, n, "\n".join(body)) for h, n, body in found if any(b.strip() for b in body)]
 
 
+_TABLE_ROW = re.compile(r"^\s*\|.*\|\s*$")
+
+
+def block_chunks(body: str, short: int = 50, most: int = 2000) -> list[str]:
+    """Paragraphs of a section with fenced code and HTML blocks kept whole. Tables and code are chunks of their own; a
+    paragraph of up to ``short`` characters joins the chunk before it while that stays below ``most``."""
+    kept: list[str] = []
+
+    def hide(m: re.Match) -> str:
+        kept.append(m.group())
+        return f"\0{len(kept) - 1}\0"
+
+    out: list[str] = []
+    for part in re.split(r"\n\s*\n", _PROTECTED.sub(hide, body)):
+        part = re.sub(r"\0(\d+)\0", lambda m: kept[int(m.group(1))], part)
+        code, part = part.startswith("    ") or "```" in part, part.strip()
+        if not part:
+            continue
+        lines = part.split("\n")
+        table = len(lines) > 1 and _TABLE_ROW.match(lines[0]) and "---" in lines[1]
+        if not (table or code) and len(part) <= short and out and len(out[-1]) + len(part) < most:
+            out[-1] = f"{out[-1]}\n\n{part}"
+        else:
+            out.append(part)
+    return out
+
+
 def semantic_chunks(text: str) -> list[tuple[str, int, str]]:
-    """(heading, level, content): sections cut into paragraphs, with fenced code and HTML blocks kept whole."""
-    out = []
-    for heading, level, body in sections(text):
-        at = 0
-        for block in _PROTECTED.finditer(body):
-            out += [(heading, level, p) for p in paragraphs(body[at : block.start()])]
-            out.append((heading, level, block.group().strip()))
-            at = block.end()
-        out += [(heading, level, p) for p in paragraphs(body[at:])]
+    """(heading, level, content): the sections of a markdown text cut into blocks; other texts are cut into paragraphs."""
+    found = sections(text)
+    if all(not level for _, level, _ in found):
+        return [("", 0, p) for p in paragraphs(text)]
+    return [(heading, level, c) for heading, level, body in found for c in block_chunks(body)]
+
+
+_ANY_HEADING = re.compile(r"(?m)^#{1,6}\s+.+$")
+
+
+def packed_paragraphs(text: str, size: int, overlap: int) -> list[str]:
+    """Paragraphs packed into chunks of up to ``size``; a new chunk begins with the last ``overlap`` characters of the one
+    before it. A longer paragraph is cut into windows."""
+    out, held = [], ""
+
+    def flush() -> None:
+        nonlocal held
+        if held:
+            out.append(held.strip())
+            held = ""
+
+    for part in re.split(r"\n\s*\n|\r\n\s*\r\n", text):
+        part = part.strip()
+        if not part:
+            continue
+        if len(part) > size:
+            flush()
+            out += [part[k : k + size] for k in range(0, max(len(part) - overlap, 1), size - overlap)]
+        else:
+            if len(held) + len(part) > size:
+                flush()
+                held = out[-1][-overlap:] if out and overlap > 0 else ""
+            held += part + "\n"
+    flush()
     return out
 
 
+def heading_chunks(text: str, size: int = 500, overlap: int = 80) -> list[str]:
+    """A markdown text by headings, each block behind the heading it stands under; blocks of more than twice ``size`` and
+    texts with less than two blocks are packed by paragraphs."""
+    marks = list(_ANY_HEADING.finditer(text))
+    if not marks:
+        return packed_paragraphs(text, size, overlap)
+    blocks, last, heading = [], 0, ""
+    for m in marks:
+        if m.start() > 0 and text[last : m.start()].strip():
+            blocks.append(f"{heading}\n{text[last : m.start()].strip()}")
+        last, heading = m.start(), m.group().strip()
+    if text[last:].strip():
+        blocks.append(text[last:].strip())
+    if len(blocks) <= 1:
+        return packed_paragraphs(text, size, overlap)
+    return [c for b in blocks for c in (packed_paragraphs(b, size, overlap) if len(b) > 2 * size else [b])]
+
+
+def heading_documents(df: DataFrame, key: str, text: str, size: int = 500, overlap: int = 80) -> DataFrame:
+    """(key, seq, content): ``heading_chunks`` of whole texts; nulls and blanks give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame([(k, i, c) for k, t in zip(rows[key], rows[text]) for i, c in enumerate(heading_chunks(t, size, overlap))], columns=[key, "seq", "content"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, seq int, content string")
+
+
 def chunk_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, seq, heading, heading_level, content): structure-aware chunks of whole texts; nulls and blanks give none."""
 

@@ -48,8 +48,11 @@ def settings_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Where a question belongs, what it asks for, and the method and class it names."""
     q = F.coalesce("source_question", "title")
-    return points(spark, d).select("id", parsing.first_label(q, ["code", "doc", "both"], "unknown").alias("route"), parsing.first_label(q, ["method", "caller", "implement", "logic", "index"], "other").alias("intent"))
+    return points(spark, d).select(
+        "id", parsing.first_label(q, ["code", "doc", "both"], "unknown").alias("route"), parsing.question_intent(F.coalesce(q, F.lit(""))).alias("intent"), parsing.asked_method(q).alias("method"), parsing.asked_class(q).alias("class"),
+    )
 
 
 def level_from_text(spark: SparkSession, d: str) -> DataFrame:
@@ -60,12 +63,13 @@ def level_from_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claims_supported(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of a point's concept that stand verbatim in the chunks the point names, or in any chunk's first line."""
+    """Sentences of a point's concept and its title that stand verbatim, in any letter case, in the chunks the point names."""
     p = points(spark, d).where(F.col("concept").isNotNull())
-    claims = p.select(F.col("id").alias("item"), F.posexplode(F.split("concept", r"(?<=[.!?]) ")).alias("n", "claim")).where("claim != ''")
+    sentences = F.concat(F.split("concept", r"(?<=[.!?。！？])\s*"), F.split(F.coalesce("title", F.lit("")), " "))
+    claims = p.select(F.col("id").alias("item"), F.posexplode(F.transform(sentences, lambda s: F.lower(F.trim(s)))).alias("n", "claim")).where("claim != ''")
     named = p.select(F.col("id").alias("item"), F.explode(integers_in("chunk_ids")).alias("chunk")).join(chunks_once(spark, d).select(F.col("id").alias("chunk"), "content"), "chunk")
-    own = p.where("id % 2 = 0").select(F.col("id").alias("item"), F.col("concept").alias("content"))
-    return guards.supported_claims(claims, named.select("item", F.coalesce("content", F.lit("")).alias("content")).unionByName(own)).select("item", "n_claims", "n_supported", F.round("support", 6).alias("support"), F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
+    found = guards.supported_claims(claims, named.select("item", F.lower(F.coalesce("content", F.lit(""))).alias("content")))
+    return found.select("item", "n_claims", "n_supported", F.round("support", 6).alias("support"), F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 
 
 def cited_excerpts(spark: SparkSession, d: str) -> DataFrame:
@@ -78,9 +82,11 @@ def cited_excerpts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strict_verified(spark: SparkSession, d: str) -> DataFrame:
-    rows = _questions(spark, d).withColumn("terms", ranking.code_terms(F.col("question"))).repartition("query_id")
-    score = guards.strict_score(F.least(F.lit(1.0), F.col("score") / 200), F.col("file_name"), F.col("file_name"), F.col("content"), F.col("terms"), F.col("rank"))
-    return rows.select("query_id", "chunk_id", score.alias("strict")).withColumn("passed", F.col("strict") >= 0.3)
+    """Keyword hits checked against the method and class that the question names; the base is the share of the best score."""
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    rows = _questions(spark, d).withColumns({"base": F.col("score") / best, "method": parsing.asked_method(F.col("question")), "class": parsing.asked_class(F.col("question"))})
+    score = guards.strict_score(F.col("base"), F.col("file_name"), F.col("content"), F.col("method"), F.col("class"), F.lit(None).cast("string"), F.col("seq"))
+    return rows.select("query_id", "chunk_id", score.alias("strict")).withColumn("passed", F.col("strict") >= 0.6)
 
 
 def hits_added(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +156,8 @@ def changed_since(spark: SparkSession, d: str) -> DataFrame:
 def repository_sizes(spark: SparkSession, d: str) -> DataFrame:
     kb = F.floor(F.sum(F.coalesce(F.octet_length("body"), F.lit(0))) / 1024)
     by = units_once(spark, d).groupBy("project_id").agg(kb.alias("kb"), F.count_distinct("file_path").alias("n_files"))
-    return by.withColumn("gate", F.when(F.col("kb") > 200, "REJECT").when((F.col("kb") > 50) | (F.col("n_files") > 20), "WARN").otherwise("OK"))
+    mb, n = F.floor(F.col("kb") / 1024), F.col("n_files")
+    return by.withColumn("gate", F.when((mb > 2000) | (n > 50_000), "REJECT").when((mb > 500) | (n > 10_000), "WARN").otherwise("OK"))
 
 
 def knowledge_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +211,9 @@ QUERIES = {
 
 ENTRIES = f"""{PT}, {CHUNKS}, en AS (SELECT p.id AS entry, list(DISTINCT ch.doc_id) AS sources, first(p.updated_at + INTERVAL 90 DAYS) AS expires_at FROM
  (SELECT DISTINCT id, updated_at, CAST(unnest(regexp_extract_all(chunk_ids, '[0-9]+')) AS BIGINT) AS chunk FROM pt) p JOIN ch ON ch.id = p.chunk WHERE ch.doc_id IS NOT NULL GROUP BY p.id)"""
-_SHARE = "CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda w: contains(lower(coalesce({c}, '')), w))) / len(terms) ELSE 0 END"
+#: The names in a question q of table t: what is called, the dotted name, the method and the class.
+_NAMED = r"""nm0 AS (SELECT *, nullif(regexp_extract(q, '([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1), '') AS called, nullif(regexp_extract(q, '([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)+)', 1), '') AS chain FROM {t}),
+ named AS (SELECT *, coalesce(called, string_split(chain, '.')[-1]) AS method, coalesce(string_split(chain, '.')[1], list_filter(regexp_extract_all(q, '[a-z]+|[A-Z][a-z]*'), lambda w: regexp_matches(w, '^[A-Z]'))[1]) AS class FROM nm0)"""
 
 SQL = {
     "json_fields": "WITH x AS (SELECT event_id, nullif(trim(coalesce(json_extract_string(props, '$.key'), json_extract_string(props, '$.k'), json_extract_string(props, '$.data.k'))), '') AS k FROM events) SELECT event_id, coalesce(TRY_CAST(k AS INT), -1) AS k, coalesce(lower(k) IN ('true', '1', 'yes'), false) AS flag, coalesce(TRY_CAST(k AS DOUBLE), 0.5) AS weight FROM x",
@@ -212,12 +221,22 @@ SQL = {
     "answer_gate": f"WITH {NOW} SELECT id, CASE WHEN level_confidence >= 0.45 THEN 'answer' ELSE 'agent' END AS route, level IN (1, 3) OR level_confidence >= 0.85 AS skip_checks FROM now",
     "settings_merged": """WITH p AS (SELECT id, lower(coalesce(language, '?')) AS language, total_files, total_methods FROM code_project), b AS (SELECT language, max(total_files) AS f, min(total_methods) AS m FROM p GROUP BY 1)
  SELECT id, CASE WHEN coalesce(total_files, 0) % 3 > 0 THEN total_files ELSE f END AS files, CASE WHEN coalesce(total_methods, 0) % 3 > 0 THEN total_methods ELSE m END AS methods FROM p JOIN b USING (language)""",
-    "question_routes": f"""WITH {PT}, x AS (SELECT id, lower(coalesce(source_question, title)) AS q FROM pt) SELECT id, CASE WHEN contains(q, 'code') THEN 'code' WHEN contains(q, 'doc') THEN 'doc' WHEN contains(q, 'both') THEN 'both' ELSE 'unknown' END AS route,
- CASE WHEN contains(q, 'method') THEN 'method' WHEN contains(q, 'caller') THEN 'caller' WHEN contains(q, 'implement') THEN 'implement' WHEN contains(q, 'logic') THEN 'logic' WHEN contains(q, 'index') THEN 'index' ELSE 'other' END AS intent FROM x""",
+    "question_routes": f"""WITH {PT}, x AS (SELECT id, coalesce(source_question, title) AS q FROM pt), {_NAMED.format(t="x")} SELECT id, CASE WHEN contains(lower(q), 'code') THEN 'code' WHEN contains(lower(q), 'doc') THEN 'doc' WHEN contains(lower(q), 'both') THEN 'both' ELSE 'unknown' END AS route,
+ CASE WHEN regexp_matches(lower(coalesce(q, '')), '{parsing.CALL_CHAIN}') THEN 'CALL_CHAIN' WHEN regexp_matches(lower(coalesce(q, '')), '{parsing.METHOD}') THEN CASE WHEN called IS NULL AND chain IS NOT NULL THEN 'CALL_CHAIN' ELSE 'METHOD_LOOKUP' END
+ WHEN regexp_matches(lower(coalesce(q, '')), '{parsing.IMPLEMENTATION}') THEN 'IMPLEMENTATION' WHEN called IS NOT NULL THEN 'METHOD_LOOKUP' ELSE 'UNKNOWN' END AS intent, method, class FROM named""",
     "level_from_text": f"WITH {NOW} SELECT id, CASE WHEN level BETWEEN 1 AND 5 THEN level ELSE 0 END AS level FROM now",
     "cited_excerpts": f"WITH {CHUNKS}, c AS (SELECT id, content, substring(lead(content) OVER (PARTITION BY doc_id ORDER BY coalesce(seq, -1), id), 1, 30) AS e FROM ch WHERE doc_id IS NOT NULL AND length(content) > 0) SELECT id, contains(content, e) AS verbatim FROM c WHERE e IS NOT NULL",
-    "strict_verified": f"""WITH {ASKED}, {CORPUS}, kw AS ({_keyword_sql(8)}), x AS MATERIALIZED (SELECT kw.*, file_name, corpus.text AS content, {_CODE_TERMS.format(c="asked.text")} AS terms FROM kw JOIN asked USING (query_id) JOIN corpus USING (chunk_id)),
- y AS (SELECT query_id, chunk_id, floor((0.4 * least(1.0, score / 200) + 0.25 * {_SHARE.format(c="file_name")} + 0.15 * {_SHARE.format(c="file_name")} + 0.1 * {_SHARE.format(c="content")} + 0.1 * greatest(0, 1 - (rank - 1) / 10)) * 10000 + 0.5) / 10000 AS strict FROM x) SELECT *, strict >= 0.3 AS passed FROM y""",
+    "strict_verified": f"""WITH {ASKED}, {CORPUS}, kw AS ({_keyword_sql(8)}), x AS (SELECT kw.*, lower(coalesce(file_name, '')) AS file, seq, corpus.text AS content, lower(corpus.text) AS low, asked.text AS q FROM kw JOIN asked USING (query_id) JOIN corpus USING (chunk_id)), {_NAMED.format(t="x")},
+ z AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS base, lower(method) AS m, lower(class) AS c, instr(low, lower(method)) AS p, len(string_split(content, chr(10))) AS n FROM named),
+ y AS (SELECT query_id, chunk_id, floor((0.4 * base + 0.25 * CASE WHEN m IS NULL THEN 0.5 WHEN contains(file, m) THEN 1 WHEN p > 0 THEN CASE WHEN (p = 1 OR NOT regexp_matches(substring(low, p - 1, 1), '[\\p{{L}}\\p{{N}}]')) AND NOT regexp_matches(substring(low, p + length(m), 1), '[\\p{{L}}\\p{{N}}]') THEN 0.8 ELSE 0.5 END ELSE 0 END
+ + 0.15 * CASE WHEN c IS NULL THEN 0.5 WHEN contains(file, c) THEN 1 ELSE 0 END + 0.1 * CASE WHEN trim(content) = '' THEN 0 WHEN n >= 10 THEN 1 WHEN n >= 5 THEN 0.7 WHEN n >= 3 THEN 0.4 ELSE 0.2 END
+ + 0.1 * CASE WHEN coalesce(seq, 0) <= 0 THEN 0 ELSE greatest(0, 0.2 * (1 - least(1, (seq - 1) / 20))) END) * 10000 + 0.5) / 10000 AS strict FROM z) SELECT *, strict >= 0.6 AS passed FROM y""",
+    "claims_supported": f"""WITH {PT}, {CHUNKS}, s AS (SELECT id AS item, list_concat(regexp_extract_all(concept, '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), string_split(coalesce(title, ''), ' ')) AS l FROM pt WHERE concept IS NOT NULL),
+ c AS (SELECT item, n - 1 AS n, lower(trim(l[n])) AS claim FROM (SELECT item, l, unnest(generate_series(1, len(l))) AS n FROM s) t WHERE trim(l[n]) <> ''),
+ r AS (SELECT DISTINCT id AS item, CAST(unnest(regexp_extract_all(chunk_ids, '[0-9]+')) AS BIGINT) AS chunk FROM pt WHERE concept IS NOT NULL),
+ f AS (SELECT DISTINCT c.item, n FROM c JOIN r USING (item) JOIN ch ON ch.id = r.chunk WHERE contains(lower(coalesce(content, '')), claim)),
+ g AS (SELECT c.item, count(*) AS n_claims, count(f.n) AS n_supported, string_agg(claim, chr(10) ORDER BY c.n) FILTER (WHERE f.n IS NOT NULL) AS kept, string_agg(claim, chr(10) ORDER BY c.n) AS whole FROM c LEFT JOIN f ON f.item = c.item AND f.n = c.n GROUP BY 1)
+ SELECT item, n_claims, n_supported, round(n_supported / n_claims, 6) AS support, md5(coalesce(kept, whole)) AS answer_md5 FROM g""",
     "hits_added": f"""WITH {VEC}, a AS ({_dense_sql(4, 'level IN (1, 2)')}), b AS ({_dense_sql(6)}), u AS (SELECT *, 1 AS round FROM a UNION ALL SELECT *, 2 FROM b), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round, rank) AS r FROM u)
  SELECT query_id, CAST(round AS INT) AS round, count(*) FILTER (WHERE r = 1) AS n_added, count(*) AS n_hits FROM x GROUP BY 1, 2""",
     "cache_found": f"""WITH {VEC}, {ENTRIES}, dn AS ({_dense_sql(10)}), a AS (SELECT dn.* FROM dn JOIN en ON en.entry = dn.chunk_id WHERE query_id <> chunk_id AND score >= 0.3 AND expires_at > TIMESTAMP '2026-02-01'),
@@ -229,7 +248,7 @@ SQL = {
     "units_from_two_indexes": f"""WITH {UNITS}, e AS (SELECT project_id, file_path, 'exact' AS index, id FROM cu WHERE len(enriched_calls) > 0), u AS (SELECT * FROM e UNION ALL SELECT project_id, file_path, 'parsed', id FROM cu WHERE (project_id, file_path) NOT IN (SELECT (project_id, file_path) FROM e))
  SELECT project_id, index, count(*) AS n_units, count(DISTINCT file_path) AS n_files FROM u GROUP BY 1, 2""",
     "changed_since": f"WITH {UNITS}, x AS (SELECT *, percent_rank() OVER (PARTITION BY project_id ORDER BY created_at, id) AS s FROM cu WHERE created_at IS NOT NULL) SELECT project_id, count(DISTINCT file_path) AS n_files, min(created_at) AS since FROM x WHERE s > 0.75 GROUP BY 1",
-    "repository_sizes": f"WITH {UNITS}, b AS (SELECT project_id, CAST(floor(sum(coalesce(strlen(body), 0)) / 1024) AS BIGINT) AS kb, count(DISTINCT file_path) AS n_files FROM cu GROUP BY 1) SELECT *, CASE WHEN kb > 200 THEN 'REJECT' WHEN kb > 50 OR n_files > 20 THEN 'WARN' ELSE 'OK' END AS gate FROM b",
+    "repository_sizes": f"WITH {UNITS}, b AS (SELECT project_id, CAST(floor(sum(coalesce(strlen(body), 0)) / 1024) AS BIGINT) AS kb, count(DISTINCT file_path) AS n_files FROM cu GROUP BY 1) SELECT *, CASE WHEN kb // 1024 > 2000 OR n_files > 50000 THEN 'REJECT' WHEN kb // 1024 > 500 OR n_files > 10000 THEN 'WARN' ELSE 'OK' END AS gate FROM b",
     "knowledge_counts": f"WITH {PT} SELECT related_project_id, count(*) AS n, count(*) FILTER (WHERE upper(status) = 'ACTIVE') AS n_active, first(id ORDER BY coalesce(created_at, TIMESTAMP '1970-01-01') DESC, id DESC) AS newest_id FROM pt WHERE related_project_id IS NOT NULL GROUP BY 1",
     "snapshots_kept": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, status, chunk_count) AS rn FROM (SELECT DISTINCT * FROM knowledge_document) t)
  SELECT id, count(*) AS n_kept, first(status ORDER BY chunk_count DESC, rn DESC) AS largest_status FROM x WHERE rn <= 3 GROUP BY id""",

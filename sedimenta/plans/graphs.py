@@ -5,7 +5,7 @@ A point's prerequisites are its edges; their type goes by the point's id, as the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import graph
@@ -27,7 +27,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.upsert(edges(spark, d), edges(spark, d).where("src % 10 = 0"))
+    """Edges as of a day, changes since two weeks before merged in a day later, and those of archived points taken out."""
+    every = edges(spark, d)
+    before = every.where("created_at IS NULL OR created_at < TIMESTAMP_NTZ '2025-12-15 00:00:00'")
+    changes = every.where("created_at >= TIMESTAMP_NTZ '2025-12-01 00:00:00'").withColumn("created_at", F.expr("created_at + INTERVAL 1 DAY"))
+    return graph.detach(graph.upsert(before, changes), points(spark, d).where(F.upper("status") == "ARCHIVED").select("id"))
 
 
 def graph_related(spark: SparkSession, d: str) -> DataFrame:
@@ -38,9 +42,9 @@ def graph_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Least number of hops, up to ten, between asking points and all others."""
-    near = graph.reach(nodes(spark, d).where("id % 20 = 0").select("id"), graph.undirected(edges(spark, d)), 10)
-    return near.select("source", "node", "hops")
+    """Shortest paths of up to ten hops between asking points and all others, with their nodes."""
+    found = graph.shortest_paths(nodes(spark, d).where("id % 20 = 0").select("id"), graph.undirected(edges(spark, d)), 10)
+    return found.select("source", "node", "hops", F.array_join("path", ">").alias("path"))
 
 
 def graph_upstream(spark: SparkSession, d: str) -> DataFrame:
@@ -79,8 +83,7 @@ def graph_expanded_hits(spark: SparkSession, d: str) -> DataFrame:
 def graph_tag_links(spark: SparkSession, d: str) -> DataFrame:
     """Suggested relations: each document and the one before it with the same tag (a chain, not all pairs of a tag)."""
     tags = documents_now(spark, d).where("tags IS NOT NULL AND deleted = 0").select("id", F.explode(F.array_distinct(F.transform(F.split("tags", ","), lambda t: F.trim(t)))).alias("tag")).where("tag != ''")
-    before = F.lag("id").over(Window.partitionBy("tag").orderBy("id"))
-    return tags.withColumn("dst", before).where("dst IS NOT NULL").groupBy(F.col("id").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n_tags"))
+    return graph.chain(tags, "tag", "id").withColumnRenamed("before", "dst").where("dst IS NOT NULL").groupBy(F.col("id").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n_tags"))
 
 
 QUERIES = {f.__name__: f for f in (graph_edges, graph_related, graph_paths, graph_upstream, graph_downstream, graph_statistics, graph_components, graph_expanded_hits, graph_tag_links)}
@@ -104,11 +107,12 @@ def _closure(where: str, flip: bool, level: str) -> str:
 
 
 SQL = {
-    "graph_edges": f"WITH {GRAPH} SELECT * FROM ed",
+    "graph_edges": f"""WITH {GRAPH}, x AS (SELECT * FROM ed WHERE created_at IS NULL OR created_at < TIMESTAMP '2025-12-15' UNION ALL SELECT src, dst, type, created_at + INTERVAL 1 DAY FROM ed WHERE created_at >= TIMESTAMP '2025-12-01'),
+ gone AS (SELECT id FROM pt WHERE upper(status) = 'ARCHIVED') SELECT src, dst, type, max(created_at) AS created_at FROM x WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) GROUP BY 1, 2, 3""",
     "graph_related": f"""WITH {GRAPH}, {_hops("SELECT id FROM nd WHERE id % 20 = 0")} SELECT source, node, CAST(hops AS INT) AS hops, array_to_string(list_sort(types), ' ') AS relation,
  CASE WHEN b.level < a.level THEN 'UP' WHEN b.level > a.level THEN 'DOWN' ELSE 'SAME' END AS direction FROM near JOIN nd a ON a.id = source LEFT JOIN nd b ON b.id = node""",
-    "graph_paths": f"""WITH RECURSIVE {GRAPH}, cl AS (SELECT id AS source, id AS node, 0 AS hops FROM nd WHERE id % 20 = 0 UNION SELECT source, dst, hops + 1 FROM cl JOIN un ON src = node WHERE hops < 10)
- SELECT source, node, CAST(min(hops) AS INT) AS hops FROM cl WHERE source <> node GROUP BY 1, 2""",
+    "graph_paths": f"""WITH RECURSIVE {GRAPH}, cl AS (SELECT id AS source, id AS node, 0 AS hops, []::BIGINT[] AS path FROM nd WHERE id % 20 = 0 UNION ALL SELECT source, dst, hops + 1, list_append(path, dst) FROM cl JOIN (SELECT DISTINCT src, dst FROM un) u ON src = node WHERE hops < 10 AND dst <> source AND NOT list_contains(path, dst)),
+ b AS (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY hops, path) AS r FROM cl WHERE hops > 0) SELECT source, node, CAST(hops AS INT) AS hops, array_to_string(path, '>') AS path FROM b WHERE r = 1""",
     "graph_upstream": _closure("'REFERENCES', 'DEPENDS_ON'", False, "<"),
     "graph_downstream": _closure("'DEPENDS_ON', 'EXTENDS'", True, ">"),
     "graph_statistics": f"""WITH {GRAPH} SELECT 'nodes' AS what, '' AS key, count(*) AS n FROM nd UNION ALL SELECT 'level', CAST(level AS VARCHAR), count(*) FROM nd WHERE level > 0 GROUP BY level

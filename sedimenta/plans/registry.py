@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "usage_state", "text_code", "retrieval_ranking", "graphs", "streams", "assembly")
+MODULES = ("problems", "usage_state", "text_code", "retrieval_ranking", "graphs", "streams", "assembly", "answering")
 
 
 def queries() -> dict:

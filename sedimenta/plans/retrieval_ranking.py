@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.operators import evaluation, ranking, retrieval, textual
+from sedimenta.operators import codebase, evaluation, ranking, retrieval, textual
 from sedimenta.operators.references import integers_in
-from sedimenta.plans.text_code import CHUNKS, LIVE, NOW, chunks_once, documents_now, live_chunks
+from sedimenta.plans.text_code import CHUNKS, EDGES, LIVE, NOW, chunks_once, documents_now, live_chunks, units_once
 from sedimenta.sources import load, materialize
 
 
@@ -75,12 +75,16 @@ def sparse_top_k(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.sparse_top_k(retrieval.query_terms(asked(spark, d), rows), rows, 30)
 
 
-def query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the points' titles, widened by a lexicon made of the documents' tag lists (first tag: the rest)."""
+def lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """(term, synonym) made of the documents' tag lists (first tag: the rest)."""
     tags = F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != "")
     lists = documents_now(spark, d).where("tags IS NOT NULL").select(tags.alias("tags")).where("size(tags) > 1")
-    lexicon = lists.select(F.get("tags", F.lit(0)).alias("term"), F.explode(F.expr("slice(tags, 2, size(tags) - 1)")).alias("synonym")).where("term != synonym").distinct()
-    return retrieval.expand(points(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text")), lexicon)
+    return lists.select(F.get("tags", F.lit(0)).alias("term"), F.explode(F.expr("slice(tags, 2, size(tags) - 1)")).alias("synonym")).where("term != synonym").distinct()
+
+
+def query_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the points' titles, widened by the lexicon."""
+    return retrieval.expand(points(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text")), lexicon(spark, d))
 
 
 def hypothesis_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +147,18 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return keyword_top_k(spark, d).join(asked(spark, d).withColumnRenamed("text", "question"), "query_id").join(rows, "chunk_id")
 
 
+def callers(spark: SparkSession, d: str) -> DataFrame:
+    """(project_id, term, file): which file calls a method of a name, in lower case."""
+    return codebase.call_edges(units_once(spark, d)).select("project_id", F.lower("method_name").alias("term"), F.lower("caller_file").alias("file")).distinct()
+
+
+def projects_asked(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).select(F.col("id").alias("query_id"), F.col("related_project_id").alias("project_id"))
+
+
 def feature_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.rerank(_questions(spark, d), 4).select("query_id", "chunk_id", "score", "rank")
+    hits = _questions(spark, d).join(projects_asked(spark, d), "query_id", "left")
+    return ranking.rerank(hits, 4, callers(spark, d)).select("query_id", "chunk_id", "score", "rank")
 
 
 def question_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -231,6 +245,13 @@ def eval_best(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.max_by("label", F.struct("composite", F.reverse("label"))).alias("label"), F.max("composite").alias("composite"), F.count(F.lit(1)).alias("n_tried"))
 
 
+def eval_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """A run a day, over the asking points made on it: the summaries that are kept, and which is the best."""
+    day = points(spark, d).where("created_at IS NOT NULL").select(F.col("id").alias("query_id"), F.to_date("created_at").alias("day"))
+    runs = evaluation.summary(eval_queries(spark, d).join(day, "query_id"), "day")
+    return evaluation.keep_snapshots(runs, "day").select(F.col("day").cast("string").alias("day"), "n", "composite", "best")
+
+
 def level_responses(spark: SparkSession, d: str) -> DataFrame:
     """A classifier's fenced JSON answers parsed back: level outside 1..5 and confidence outside 0..1 become 0."""
     raw = F.concat(F.lit("```json\n"), F.to_json(F.struct("level", F.col("level_confidence").alias("confidence"))), F.lit("\n```"))
@@ -258,27 +279,12 @@ def router_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def retrieval_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Dense, keyword and term channels fused, diversified, reranked and gated, for all asking points in one plan."""
-    rows = materialize(corpus(spark, d), "corpus")
-    questions = asked(spark, d)
-    channels = {"dense": _dense(spark, d, 8), "keyword": retrieval.bm25_top_k(questions, rows, 8), "sparse": retrieval.sparse_top_k(retrieval.query_terms(questions, rows), rows, 30)}
-    pooled = materialize(ranking.pool(ranking.fuse(channels)), "pool")
-    vec = vectors(spark, d).select("chunk_id", "vector")
-    asking = vec.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    meta = rows.withColumnRenamed("text", "content").drop("level")
-    wide = pooled.join(vec, "chunk_id", "left").join(meta.select("chunk_id", "doc_id"), "chunk_id", "left").join(asking, "query_id", "left").withColumn("lam", F.lit(0.6))
-    chosen = ranking.mmr(wide).join(pooled.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"])
-    ready = chosen.join(questions.withColumnRenamed("text", "question"), "query_id").join(meta, "chunk_id", "left")
-    return ranking.rerank(ready, 4).select("query_id", "chunk_id", "doc_id", "score", "rank")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         dense_top_k, dense_by_levels, dense_pairs_expression, vectors_of_chunks, keyword_top_k, keyword_by_levels, sparse_terms, sparse_top_k, query_expansion, hypothesis_texts, route_back_fill, hybrid_rrf, explore,
         three_channels, adaptive_lambdas, mmr_selected, mmr_graph, feature_rerank, question_terms, cross_rerank, relevance_guard, corrective_verdicts, noise_floor, corrective_retry, answer_confidence,
-        eval_queries, eval_summary, eval_grid, eval_best, level_responses, native_levels, router_features, retrieval_pipeline,
+        eval_queries, eval_summary, eval_grid, eval_best, eval_snapshots, level_responses, native_levels, router_features,
     )
 }
 
@@ -374,9 +380,12 @@ SQL = {
     "three_channels": f"{_base(8)}, {TERMS}, {SPARSE}, {_fused_sql(_TWO | {'sparse': 'sparse'})} SELECT * FROM fused WHERE rank <= 16",
     "adaptive_lambdas": f"""WITH {NOW} SELECT id, round(greatest(0.3, least(0.95, CASE level WHEN 1 THEN 0.35 WHEN 2 THEN 0.5 WHEN 3 THEN 0.6 WHEN 4 THEN 0.75 WHEN 5 THEN 0.85 ELSE 0.6 END
  + CASE WHEN level_confidence < 0.5 THEN -0.1 WHEN level_confidence > 0.8 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS lam FROM now""",
-    "feature_rerank": f"""{_KEYWORD}, x AS (SELECT kw.query_id, kw.chunk_id, kw.score, asked.text AS question, corpus.text AS content, file_name, seq, {_CODE_TERMS.format(c="asked.text")} AS terms, {_BARE.format(c="asked.text")} AS bq, {_BARE.format(c="corpus.text")} AS bc FROM kw JOIN asked USING (query_id) JOIN corpus USING (chunk_id)),
- y AS MATERIALIZED (SELECT *, CASE WHEN length(bq) <= 2 THEN [bq] ELSE {_PAIRS.format(b="bq")} END AS pairs, lower(content || ' ' || coalesce(file_name, '')) AS t FROM x),
- z AS (SELECT query_id, chunk_id, {_ROUND4.format(x="0.4 * score + 0.2 * CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda w: contains(t, w))) / len(terms) ELSE 0 END + 0.2 * CASE WHEN len(list_filter(terms, lambda w: contains(lower(coalesce(file_name, '')), w))) > 0 THEN 1 ELSE 0 END + 0.1 * len(list_filter(pairs, lambda w: contains(bc, w))) / len(pairs) + 0.1 * CASE WHEN coalesce(seq, 0) <= 0 THEN 0 ELSE floor(0.2 * greatest(0, 1 - (seq - 1) / 10) * 100 + 0.5) / 100 END")} AS score FROM y)
+    "feature_rerank": f"""{_KEYWORD}, {EDGES}, x AS (SELECT kw.query_id, kw.chunk_id, kw.score, asked.text AS question, corpus.text AS content, file_name, seq, {_CODE_TERMS.format(c="asked.text")} AS terms, {_BARE.format(c="asked.text")} AS bq, {_BARE.format(c="corpus.text")} AS bc FROM kw JOIN asked USING (query_id) JOIN corpus USING (chunk_id)),
+ y AS MATERIALIZED (SELECT *, CASE WHEN length(bq) <= 2 THEN [bq] ELSE {_PAIRS.format(b="bq")} END AS pairs, lower(content || ' ' || coalesce(file_name, '')) AS t, lower(coalesce(file_name, '')) AS f FROM x),
+ ask AS (SELECT query_id, chunk_id, related_project_id AS project_id, f, unnest(terms) AS term FROM y JOIN pt ON pt.id = y.query_id WHERE related_project_id IS NOT NULL), cs AS (SELECT DISTINCT project_id, lower(method_name) AS term, lower(caller_file) AS file FROM edges),
+ bo AS (SELECT query_id, chunk_id, least(1.0, 0.5 * count(*)) AS bonus FROM (SELECT query_id, chunk_id, term, 0 AS k FROM ask a WHERE EXISTS (SELECT 1 FROM cs WHERE cs.project_id = a.project_id AND cs.term = a.term AND cs.file = a.f)
+  UNION SELECT query_id, chunk_id, term, 1 FROM ask a WHERE EXISTS (SELECT 1 FROM cs WHERE cs.project_id = a.project_id AND cs.term = a.term AND replace(regexp_replace(cs.file, '.*/', ''), '.java', '') <> '' AND contains(a.f, replace(regexp_replace(cs.file, '.*/', ''), '.java', '')))) u GROUP BY 1, 2),
+ z AS (SELECT query_id, chunk_id, {_ROUND4.format(x="0.05 * coalesce(bonus, 0) + 0.4 * score + 0.2 * CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda w: contains(t, w))) / len(terms) ELSE 0 END + 0.2 * CASE WHEN len(list_filter(terms, lambda w: contains(lower(coalesce(file_name, '')), w))) > 0 THEN 1 ELSE 0 END + 0.1 * len(list_filter(pairs, lambda w: contains(bc, w))) / len(pairs) + 0.1 * CASE WHEN coalesce(seq, 0) <= 0 THEN 0 ELSE floor(0.2 * greatest(0, 1 - (seq - 1) / 10) * 100 + 0.5) / 100 END")} AS score FROM y LEFT JOIN bo USING (query_id, chunk_id))
  SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM z) r WHERE rank <= 4""",
     "question_terms": f"SELECT doc_id, array_to_string(list_sort({_CODE_TERMS.format(c='text')}), ' ') AS terms FROM documents WHERE text IS NOT NULL",
     "cross_rerank": f"""{_DENSE8}, {_JUDGED}, x AS (SELECT dn.query_id, dn.chunk_id, {_ROUND4.format(x="coalesce((given - 1) / 4, 0.5) * 0.7 + score * (1 - 0.7)")} AS score FROM dn LEFT JOIN jd USING (query_id, chunk_id))
@@ -394,6 +403,9 @@ SQL = {
  SELECT query_id, {_ROUND4.format(x="least(1.0, s1 * CASE WHEN s2 IS NULL THEN 1.2 ELSE least(1.2, 1 + 2 * (s1 - s2)) END * (0.5 + 0.5 * sh)) * 0.8 + 0.2")} AS confidence FROM y""",
     "eval_queries": f"""WITH {VEC}, {PT}, dn AS ({_dense_sql(9)}), {_APART.format(dense="r1 AS (SELECT 1)", k=8)}, qr AS (SELECT * FROM sl UNION SELECT * FROM ({_QREL}) t WHERE query_id <> item),
  {_METRICS} SELECT * FROM me""",
+    "eval_snapshots": f"""WITH {VEC}, {PT}, dn AS ({_dense_sql(9)}), {_APART.format(dense="r1 AS (SELECT 1)", k=8)}, qr AS (SELECT * FROM sl UNION SELECT * FROM ({_QREL}) t WHERE query_id <> item), {_METRICS},
+ s AS (SELECT CAST(created_at AS DATE) AS day, {_MEANS} FROM me JOIN pt ON pt.id = me.query_id WHERE created_at IS NOT NULL GROUP BY 1), k AS (SELECT day, n, {_COMPOSITE} FROM s WHERE day > (SELECT max(day) FROM s) - INTERVAL 30 DAYS ORDER BY day DESC LIMIT 50)
+ SELECT CAST(day AS VARCHAR) AS day, n, composite, day = (SELECT first(day ORDER BY composite DESC, day DESC) FROM k) AS best FROM k""",
     "eval_summary": f"{_KEYWORD}, ru AS (SELECT query_id, rank, chunk_id AS item FROM kw), qr AS ({_QREL}), {_METRICS}, s AS (SELECT {_MEANS} FROM me) SELECT *, {_COMPOSITE} FROM s",
     "eval_grid": f"{_GRID} SELECT *, {_COMPOSITE} FROM gr",
     "eval_best": f"{_GRID}, g AS (SELECT *, {_COMPOSITE} FROM gr) SELECT first(label ORDER BY composite DESC, reverse(label) DESC) AS label, max(composite) AS composite, count(*) AS n_tried FROM g",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedimenta.operators import codebase, textual
 from sedimenta.operators.rolling import latest_rows
 from sedimenta.sources import load
+from sedimenta.sources.files import upsert
 
 WORDS = ("secret-store", "token", "signature", "password", "secret")
 DOCUMENT_FIELDS = ["user_id", "file_name", "file_md5", "status", "version", "deleted", "chunk_count", "created_at", "updated_at", "level", "tags", "level_confidence"]
@@ -47,7 +48,11 @@ def ingest_new(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sink_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return documents_now(spark, d).select("id", "status", "version", "deleted", "chunk_count", "updated_at")
+    """Document states as of a day with the later ones merged in."""
+    fields = ["id", "status", "version", "deleted", "chunk_count", "updated_at"]
+    states = load(spark, d, "knowledge_document").select(*fields)
+    day = F.lit("2025-12-01").cast("timestamp_ntz")
+    return upsert(states.where(F.col("updated_at") < day), states.where(F.col("updated_at") >= day), ["id"], ["updated_at"])
 
 
 def sink_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +93,12 @@ def text_semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     return textual.chunk_documents(load(spark, d, "documents"), "doc_id", "text")
 
 
+def text_heading_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts by headings and packed paragraphs with overlap: chunks and characters of each document."""
+    chunks = textual.heading_documents(load(spark, d, "documents"), "doc_id", "text")
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"), F.max(F.length("content")).alias("longest"))
+
+
 def text_contexts(spark: SparkSession, d: str) -> DataFrame:
     chunks = chunks_once(spark, d).where(F.col("content").isNotNull())
     description = textual.context_description(textual.first_heading(F.col("content")), F.col("content"), F.col("context_description"))
@@ -101,7 +112,7 @@ def text_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_of_html(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").where(F.col("text").rlike("<(p|table|div|td)\\b"))
+    docs = load(spark, d, "documents")
     return docs.select("doc_id", textual.html_text(F.col("text")).alias("plain"))
 
 
@@ -146,7 +157,24 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_ripple(spark: SparkSession, d: str) -> DataFrame:
-    return codebase.ripple(_changed(spark, d), units_once(spark, d), codebase.call_edges(units_once(spark, d)))
+    before = units_once(spark, d).where("created_at < TIMESTAMP_NTZ '2025-12-15 00:00:00'")
+    return codebase.ripple(_changed(spark, d), units_once(spark, d), codebase.call_edges(units_once(spark, d)), before)
+
+
+def code_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """Units by file that stay when the files of archived projects are deleted, and the files that called into those."""
+    units = units_once(spark, d)
+    archived = load(spark, d, "code_project").where(F.upper("status") == "ARCHIVED").select(F.col("id").alias("project_id"))
+    gone = units.join(archived, "project_id", "left_semi").select("project_id", "file_path").distinct()
+    kept = codebase.without_files(units, gone)
+    called = codebase.callers(units.join(gone, ["project_id", "file_path"], "left_semi").where("method_name IS NOT NULL"), codebase.call_edges(units)).groupBy("project_id").agg(F.count_distinct("caller_file").alias("n_callers"))
+    by = kept.groupBy("project_id", F.lit("kept").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return by.unionByName(called.select("project_id", F.lit("called").alias("what"), F.col("n_callers").alias("n")))
+
+
+def code_stacks(spark: SparkSession, d: str) -> DataFrame:
+    """Build tool, framework and number of files with an entry point of each project."""
+    return codebase.stacks(units_once(spark, d).select("project_id", F.col("file_path").alias("path"), F.coalesce("body", F.lit("")).alias("text")))
 
 
 def code_impact(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +195,7 @@ def code_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def code_modules(spark: SparkSession, d: str) -> DataFrame:
     files = units_once(spark, d).select("project_id", "file_path").distinct()
-    module = F.get(F.split("file_path", "/"), F.lit(2))
+    module = F.coalesce(codebase.module_of(F.col("file_path")), codebase.module_of(F.col("file_path"), "src/app"))
     counted = files.groupBy("project_id", module.alias("module")).agg(F.count(F.lit(1)).alias("n")).where("module IS NOT NULL AND n >= 3")
     rank = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("n").desc(), "module"))
     return counted.withColumn("rank", rank).where("rank <= 10")
@@ -215,9 +243,9 @@ def code_project_modules(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_dedup, ingest_new, sink_upsert, sink_delete, filter_live, filter_levels, first_chunks, page_of_documents, text_types, text_hard_split, text_semantic_chunks, text_contexts, text_masked,
+        ingest_dedup, ingest_new, sink_upsert, sink_delete, filter_live, filter_levels, first_chunks, page_of_documents, text_types, text_hard_split, text_semantic_chunks, text_heading_chunks, text_contexts, text_masked,
         text_of_html, text_unfenced, text_truncated, text_context_shown, text_citations, tags_exploded, code_edges, code_callers, code_ripple, code_impact, code_enclosing, code_languages, code_modules,
-        code_files, code_vector_texts, code_incidents, code_line_slices, code_indexable, code_grep, code_project_modules,
+        code_files, code_vector_texts, code_incidents, code_line_slices, code_indexable, code_grep, code_project_modules, code_deleted, code_stacks,
     )
 }
 
@@ -231,6 +259,7 @@ CHANGED = "changed AS (SELECT DISTINCT project_id, file_path FROM cu WHERE creat
 FIVE = "five AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(seq, 2147483647), id) AS rank FROM live)"
 _EXT = r"lower(regexp_extract({c}, '\.([A-Za-z0-9]+)$', 1))"
 _LANG = "CASE " + " ".join(f"WHEN {_EXT.format(c='file_path')} = '{k}' THEN '{v}'" for k, v in codebase.LANGUAGES.items()) + f" ELSE {_EXT.format(c='file_path')} END"
+_RANK = "CASE name " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(codebase.BUILD_FILES)) + " END"
 _SOURCE = r"NOT regexp_matches(file_path, '(^|/)(\.[^/]+|node_modules|target|dist|build|\.next|vendor|__pycache__)(/|$)')"
 _MASK = "content"
 for _w in sorted(WORDS, key=lambda w: (-len(w), w)):
@@ -258,7 +287,7 @@ SQL = {
   CASE WHEN length(content) > 50 THEN substring(content, 1, 50) || '...' ELSE content END) AS description FROM ch WHERE content IS NOT NULL)
 SELECT id, description, md5(CASE WHEN coalesce(trim(description), '') <> '' THEN description || chr(10) || chr(10) || content ELSE content END) AS embedding_text_md5 FROM x""",
     "text_masked": f"WITH {CHUNKS} SELECT id, md5({_MASK}) AS masked_md5 FROM ch WHERE regexp_matches(coalesce(content, ''), '{'|'.join(sorted(WORDS, key=len, reverse=True))}')",
-    "text_of_html": rf"SELECT doc_id, trim(regexp_replace({_HTML}, '\s+', ' ', 'g')) AS plain FROM documents WHERE regexp_matches(text, '<(p|table|div|td)\b')",
+    "text_of_html": rf"SELECT doc_id, trim(regexp_replace({_HTML}, '\s+', ' ', 'g'), ' ') AS plain FROM documents",
     "text_unfenced": rf"""WITH {CHUNKS}, x AS (SELECT id, content, regexp_extract(content, '(?s)```[A-Za-z]*\s*(.*?)```', 1) AS f FROM ch WHERE contains(content, '```'))
 SELECT id, md5(regexp_replace(CASE WHEN f <> '' THEN f ELSE content END, '^\s+|\s+$', '', 'g')) AS body_md5 FROM x""",
     "text_truncated": f"WITH {CHUNKS} SELECT id, length(content) > 600 AS compress, md5(CASE WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END) AS cut_md5 FROM ch WHERE content IS NOT NULL",
@@ -278,7 +307,7 @@ SELECT project_id, file_path, point_id, line, unit_id FROM (SELECT p.*, u.id AS
  FROM p JOIN u ON u.project_id = p.project_id AND u.file_path = p.file_path AND p.line BETWEEN u.start_line AND u.end_line) t WHERE rn = 1""",
     "code_languages": f"""WITH {UNITS}, f AS (SELECT DISTINCT project_id, file_path FROM cu WHERE {_SOURCE}), c AS (SELECT project_id, {_LANG} AS language, count(*) AS n FROM f GROUP BY 1, 2)
 SELECT project_id, CAST(sum(n) AS BIGINT) AS n_files, first(language ORDER BY -n, language) AS main_language FROM c GROUP BY project_id""",
-    "code_modules": f"""WITH {UNITS}, c AS (SELECT project_id, string_split(file_path, '/')[3] AS module, count(*) AS n FROM (SELECT DISTINCT project_id, file_path FROM cu) t GROUP BY 1, 2)
+    "code_modules": f"""WITH {UNITS}, c AS (SELECT project_id, coalesce(nullif(regexp_extract(file_path, '(?:^|/)src/(?:main|test)/[^/]+/[^/]+/([^/]+)(?:/|$)', 1), ''), nullif(regexp_extract(file_path, '(?:^|/)(cmd/[^/]+)', 1), ''), nullif(regexp_extract(file_path, '(?:^|/)src/app/([^/]+)/', 1), '')) AS module, count(*) AS n FROM (SELECT DISTINCT project_id, file_path FROM cu) t GROUP BY 1, 2)
 SELECT * FROM (SELECT project_id, module, n, CAST(row_number() OVER (PARTITION BY project_id ORDER BY n DESC, module) AS INT) AS rank FROM c WHERE module IS NOT NULL AND n >= 3) t WHERE rank <= 10""",
     "code_files": f"WITH {UNITS} SELECT project_id, file_path, count(*) AS n_methods, array_to_string(list(method_name ORDER BY coalesce(start_line, 0), method_name)[1:5], ', ') AS methods FROM cu WHERE method_name IS NOT NULL GROUP BY 1, 2",
     "code_vector_texts": f"""WITH {UNITS}, x AS (SELECT *, coalesce(signature, method_name) AS s, substring(body, 1, 200) AS b FROM cu)
@@ -291,6 +320,16 @@ SELECT source, count(*) AS n, count(severity) AS n_incidents, count(*) FILTER (W
     "code_indexable": f"""WITH {UNITS} SELECT {_EXT.format(c="file_path")} AS extension, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS n_chars FROM cu
 WHERE {_SOURCE} AND {_EXT.format(c="file_path")} IN ({", ".join(f"'{k}'" for k in codebase.LANGUAGES)}) AND length(trim(body)) BETWEEN 1 AND 500000 GROUP BY 1""",
     "code_grep": f"WITH {UNITS} SELECT id, file_path FROM cu WHERE contains(body, 'log.warn')",
+    "code_deleted": f"""WITH {EDGES}, gone AS (SELECT id FROM code_project WHERE upper(status) = 'ARCHIVED') SELECT project_id, 'kept' AS what, count(*) AS n FROM cu WHERE project_id NOT IN (SELECT id FROM gone) OR project_id IS NULL OR file_path IS NULL GROUP BY 1
+ UNION ALL SELECT e.project_id, 'called', count(DISTINCT e.caller_file) FROM edges e JOIN (SELECT DISTINCT project_id, method_name FROM cu WHERE project_id IN (SELECT id FROM gone) AND method_name IS NOT NULL) m USING (project_id, method_name) GROUP BY 1""",
+    "code_stacks": f"""WITH {UNITS}, f AS (SELECT project_id, file_path AS path, coalesce(body, '') AS text, regexp_extract(file_path, '([^/]+)$', 1) AS name, {_LANG} AS language, {_EXT.format(c="file_path")} AS ext FROM cu),
+ g AS (SELECT *, {_RANK} AS rank, regexp_matches(lower(name), 'springbootapplication|springapplication') OR (name = 'pom.xml' AND contains(text, 'spring-boot-starter')) AS boot,
+  CASE WHEN ext = 'go' THEN CASE WHEN contains(text, 'gin') THEN 0 WHEN contains(text, 'beego') THEN 1 WHEN contains(text, 'fiber') THEN 2 WHEN contains(text, 'echo') THEN 3 END END AS go,
+  CASE WHEN language = 'java' AND (contains(text, 'public static void main') OR contains(text, '@SpringBootApplication')) OR language = 'go' AND contains(text, 'func main()') THEN path END AS entry FROM f),
+ l AS (SELECT project_id, first(language ORDER BY -n, language) AS language FROM (SELECT project_id, language, count(DISTINCT path) AS n FROM g WHERE language IS NOT NULL GROUP BY 1, 2) t GROUP BY 1),
+ b AS (SELECT project_id, [{", ".join(f"'{t}'" for t in codebase.BUILD_FILES.values())}][min(rank) + 1] AS build_tool, coalesce(bool_or(boot), false) AS boot, min(go) AS go, count(DISTINCT entry) AS entry_points FROM g GROUP BY 1)
+SELECT project_id, build_tool, CASE WHEN build_tool IN ('Maven', 'Gradle') THEN CASE WHEN boot THEN 'Spring Boot' ELSE 'Java' END WHEN build_tool = 'Go Mod' THEN coalesce(['Gin', 'Beego', 'Fiber', 'Echo'][go + 1], 'Go')
+ WHEN build_tool IS NULL THEN CASE language WHEN 'java' THEN CASE WHEN boot THEN 'Spring Boot' ELSE 'Java' END WHEN 'python' THEN 'Python' WHEN 'javascript' THEN 'Node.js' WHEN 'typescript' THEN 'Node.js' WHEN 'go' THEN 'Go' END END AS framework, entry_points FROM b JOIN l USING (project_id)""",
     "code_project_modules": r"""SELECT id, nullif(regexp_extract(json_extract_string(repo_urls, '$[0]'), '([^/]+?)(?:\.git)?$', 1), '') AS repo,
  CAST(coalesce(list_sum(list_transform(CAST(json_extract(modules, '$[*].files') AS BIGINT[]), lambda f: coalesce(f, 0))), 0) AS INT) AS n_files,
  array_to_string(list_transform(string_split(name, '-'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM code_project""",

@@ -1,8 +1,7 @@
-"""Files as tables: uploads, source trees, lexicons and evaluation sets; and a table that takes changes."""
+"""Files as tables: uploads, source trees, lexicons and evaluation sets; and tables with changes merged in."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -56,18 +55,8 @@ def read_evaluation_set(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("query_id"), "question", F.explode_outer("expectedDocIds").alias("item"))
 
 
-def upsert(changes: DataFrame, path: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The table at ``path`` with changes merged in (per key the row latest in ``order``), written as a new version beside
-    it: ``path/v=<unique>``. Readers that hold the old version aren't disturbed. Returns the new version."""
-    spark = changes.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(conf)
-    versions = sorted(s.getPath().toString() for s in files.listStatus(root)) if files.exists(root) else []
-    both = spark.read.schema(changes.schema).parquet(versions[-1]).unionByName(changes) if versions else changes
-    rest = [c for c in changes.columns if c not in {*key, *order}]
+def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Current rows with changes merged in: per key the row latest in ``order``, of equals the largest."""
+    rest = [c for c in current.columns if c not in {*key, *order}]
     latest = F.max(F.struct(*order, *rest)).alias("s")
-    merged = both.groupBy(*key).agg(latest).select(*key, *[F.col(f"s.{c}").alias(c) for c in (*order, *rest)]).select(*changes.columns)
-    target = f"{path}/v={len(versions):09d}-{uuid.uuid4().hex}"
-    merged.write.parquet(target)
-    return spark.read.schema(changes.schema).parquet(target)
+    return current.unionByName(changes).groupBy(*key).agg(latest).select(*key, *[F.col(f"s.{c}").alias(c) for c in (*order, *rest)]).select(*current.columns)

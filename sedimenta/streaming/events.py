@@ -1,20 +1,19 @@
 """Streams of events: windows, sessions, deduplication, limits, and ingest with an idempotent sink.
 
-Every function takes and gives an unbounded DataFrame (``ingest`` a query); state is bounded by watermarks or by the
-number of keys. ``run_once`` drains what is there and gives the result as a table, with its checkpoint and output in
+Every function takes and gives an unbounded DataFrame (``ingest`` gives a query, ``rate_limited`` what it drained);
+state is bounded by watermarks or by the window of a limit. ``run_once`` drains what is there and gives the result as a table, with its checkpoint and output in
 the folder all executors share.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sedimenta.operators.state import limit_rate
 from sedimenta.sources import scratch_dir
 
 
@@ -43,24 +42,29 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], within: str) -> Da
 
 
 def rate_limited(events: DataFrame, ts: str, key: str, record: str, capacity: int, seconds: int) -> DataFrame:
-    """Sliding-window limiter: at most ``capacity`` times a key in state. Exact if events arrive in order; a micro-batch
-    sorts its own."""
-    window = seconds * 1_000_000
-
-    def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(rows)).sort_values(["at", record])
-        verdicts = []
-        for at in batch["at"]:
-            accepted = [t for t in accepted if t > at - window]
-            verdicts.append(len(accepted) < capacity)
-            if verdicts[-1]:
-                accepted.append(int(at))
-        state.update((accepted,))
-        yield pd.DataFrame({record: batch[record].to_numpy(), "allowed": verdicts})
-
-    rows = events.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(ts).alias("at"), record)
-    return rows.groupBy("k").applyInPandasWithState(step, f"{record} long, allowed boolean", "accepted array<long>", "append", GroupStateTimeout.NoTimeout)
+    """Sliding-window limiter over a stream, drained into a table (record, allowed). Exact if events arrive in order.
+
+    Each micro-batch is limited by the batch operator, which streams a hot key through in time order; what it must know of
+    earlier batches, the accepted times of the last window, is a table written under the batch's number, so a repeated
+    batch overwrites itself.
+    """
+    spark, base = events.sparkSession, f"{scratch_dir(events.sparkSession)}/limit-{uuid.uuid4().hex}"
+    kind = events.schema[record].dataType.simpleString()
+    state = f"k {events.schema[key].dataType.simpleString()}, at timestamp"
+    rows = events.select(F.col(key).alias("k"), F.col(ts).alias("at"), record)
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.sparkSession.read.schema(state).parquet(f"{base}/state/batch={number - 1}") if number else None
+        limit_rate(batch, "k", "at", record, capacity, seconds, kept).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        allowed = batch.sparkSession.read.schema(f"{record} {kind}, allowed boolean").parquet(f"{base}/out/batch={number}").where("allowed")
+        new = batch.join(allowed.select(record), record, "left_semi").select("k", "at")
+        every = new if kept is None else new.unionByName(kept)
+        last = every.groupBy("k").agg(F.max("at").alias("last"))
+        every.join(last, "k").where(F.col("at") > F.expr(f"last - INTERVAL {seconds} SECONDS")).select("k", "at").write.mode("overwrite").parquet(f"{base}/state/batch={number}")
+
+    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(f"{record} {kind}, allowed boolean").parquet(f"{base}/out").select(record, "allowed")
 
 
 def latest_usage(log: DataFrame, ts: str, user: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Readers and the versioned table, on small files."""
+"""Readers and merges, on small files."""
 
 import json
 
@@ -25,10 +25,10 @@ def test_lexicon_words_and_evaluation_set(spark, tmp_path):
     assert {tuple(r) for r in files.read_evaluation_set(spark, str(tmp_path / "eval.json")).collect()} == {("q1", "how", 3), ("q1", "how", 4), ("q2", "why", None)}
 
 
-def test_upsert_keeps_the_latest(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "id long, at int, v string"
-    files.upsert(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema), path, ["id"], ["at"])
-    now = files.upsert(spark.createDataFrame([(2, 3, "c"), (1, 0, "late"), (3, 1, None)], schema), path, ["id"], ["at"])
+def test_upsert_keeps_the_latest(spark):
+    schema = "id long, at int, v string"
+    first = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema)
+    now = files.upsert(first, spark.createDataFrame([(2, 3, "c"), (1, 0, "late"), (3, 1, None)], schema), ["id"], ["at"])
     assert {tuple(r) for r in now.collect()} == {(1, 1, "a"), (2, 3, "c"), (3, 1, None)}
 
 

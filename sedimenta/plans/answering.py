@@ -77,8 +77,11 @@ def _closeness(spark: SparkSession, d: str, pools: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id").agg(F.array_sort(F.collect_list("p")).alias("near"))
 
 
-def _share(content: Column, question: str = "question") -> Column:
-    return ranking.coverage(F.col(question), F.regexp_replace(F.lower(F.coalesce(content, F.lit(""))), r"[^\p{L}\p{N}]", ""))
+def _shares(rows: DataFrame, question: str, content: str) -> DataFrame:
+    """(query_id, chunk_id, share) of the question's character pairs that a fragment has."""
+    # the bare content is a column of its own before the lambda that looks into it, else it would be made for each pair
+    bare = rows.select("query_id", "chunk_id", F.col(question).alias("q"), F.regexp_replace(F.lower(F.coalesce(content, F.lit(""))), r"[^\p{L}\p{N}]", "").alias("bare")).repartition("query_id")
+    return bare.select("query_id", "chunk_id", ranking.coverage(F.col("q"), F.col("bare")).alias("share"))
 
 
 def pipeline_stages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -107,15 +110,15 @@ def pipeline_stages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     chosen = spread.unionByName(wide.where("NOT diversity").select("query_id", "chunk_id", F.col("rank").alias("pick")))
     chosen = chosen.join(settings.select("query_id", "top_n"), "query_id").where(F.col("pick") <= F.col("top_n")).join(pooled.select("query_id", "chunk_id", "score", "sources"), ["query_id", "chunk_id"])
     ready = chosen.join(questions.withColumnRenamed("text", "question"), "query_id").join(meta, "chunk_id", "left").join(projects_asked(spark, d), "query_id", "left")
-    featured = ranking.rerank(ready, 5, callers(spark, d))
-    judged = featured.select("query_id", "chunk_id", (1 + 4 * _share(F.col("content"))).alias("score"))
+    featured = materialize(ranking.rerank(ready, 5, callers(spark, d)), "featured")
+    judged = _shares(featured, "question", "content").select("query_id", "chunk_id", (1 + 4 * F.col("share")).alias("score"))
     ranked = ranking.cross_fuse(featured, judged, 0.7, 5).select("query_id", "chunk_id", "score", "rank", F.col("sources").alias("source"))
     ranked = materialize(ranked, "ranked")
     every = vectors(spark, d)
     retry = retrieval.dense_top_k(every.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), every, 2 * 8)
     corrected = materialize(ranking.correct(ranked, retry), "corrected")
     shown = corrected.join(questions, "query_id").join(rows.select("chunk_id", F.col("text").alias("content")), "chunk_id", "left")
-    guarded = ranking.keep_relevant(corrected, shown.select("query_id", "chunk_id", (_share(F.col("content"), "text") > 0.05).alias("relevant")))
+    guarded = ranking.keep_relevant(corrected, _shares(shown, "text", "content").select("query_id", "chunk_id", (F.col("share") > 0.05).alias("relevant")))
     return {"settings": settings, "dense": dense, "keyword": keyword, "sparse": sparse, "fused": fused, "pool": pooled, "chosen": chosen, "ranked": ranked, "corrected": corrected, "guarded": guarded}
 
 

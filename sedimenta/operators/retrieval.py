@@ -85,6 +85,44 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top_k(best, k)
 
 
+def _blocks(key: str, size: int):
+    """Rows sorted by ``list`` packed into blocks of one list each."""
+    pack = _packed(key, "vector", size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = np.asarray(batch.column("list").to_pylist(), dtype=np.int32)
+            starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(lists) else []
+            for a, b in zip(starts, [*starts[1:], len(lists)]):
+                for block in pack(iter([batch.slice(a, b - a)])):
+                    yield block.append_column("list", pa.array(np.full(block.num_rows, lists[a], dtype=np.int32)))
+
+    return run
+
+
+LIST_BLOCK = "ids binary, matrix binary, dim int, list int"
+SALTS = 16
+
+
+def by_list(rows: DataFrame, key: str) -> DataFrame:
+    """(key, vector, list) packed into blocks of one list each; a hot list is spread over ``SALTS`` tasks."""
+    spread = rows.repartition(F.col("list"), F.pmod(F.xxhash64(key), F.lit(SALTS))).sortWithinPartitions("list", key)
+    return spread.mapInArrow(_blocks(key, CORPUS_BLOCK), LIST_BLOCK)
+
+
+def meet_by_list(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Top-k of (query_id, vector, list), a query in as many lists as it may look at, against blocks of the same lists."""
+    packed = queries.repartition("list").sortWithinPartitions("list", "query_id").mapInArrow(_blocks("query_id", QUERY_BLOCK), LIST_BLOCK).toDF("q_ids", "q_matrix", "q_dim", "list")
+    met = blocks.toDF("c_ids", "c_matrix", "c_dim", "list").join(packed, "list").drop("list")
+    return top_k(met.mapInArrow(_best_of_blocks(k), "query_id long, chunk_id long, score double"), k)
+
+
+def dense_within(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Exact cosine top-k of (query_id, vector, list) against the rows (chunk_id, vector, list) of the query's lists."""
+    kept = lambda x, key: x.where(F.col("vector").isNotNull() & F.col("list").isNotNull()).select(key, F.col("vector").cast("array<float>").alias("vector"), F.col("list").cast("int").alias("list"))
+    return meet_by_list(kept(queries, "query_id"), by_list(kept(corpus, "chunk_id"), "chunk_id"), k)
+
+
 def bigrams(text: Column) -> Column:
     """Character pairs of the lower-cased text without white space and punctuation."""
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), F.lit("(?s)(?=(..))"), F.lit(1))

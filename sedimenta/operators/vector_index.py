@@ -4,7 +4,7 @@ Centres are fitted on a sample of at most ``SAMPLE`` rows (the rows of the small
 every run); every row is placed in the list of its nearest centre. Centres number the square root of the rows, at most
 ``CENTRES``, so they are bounded and broadcast in the closures. A query is sent to its ``probes`` nearest lists, as many as
 within the sample hold ``TARGET`` of the true neighbours of at most ``TRIED`` sampled queries; lists are
-packed into blocks of ``BLOCK`` vectors, so a hot list is many rows, and a block meets the queries of its list only.
+packed into blocks of vectors, so a hot list is many rows, and a block meets the queries of its list only.
 Scores are exact; what a query can miss are rows of lists it doesn't look at, and ``recall`` measures that.
 
 Defined results: null vectors are in no list; zero vectors have the score 0; vectors of another length than the centres
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.operators.retrieval import _best_of_blocks, _packed, _unit, top_k
+from sedimenta.operators.retrieval import _unit, by_list, meet_by_list
 from sedimenta.sources import materialize
 
-SAMPLE, CENTRES, ROUNDS, BLOCK = 20_000, 4096, 12, 4096
+SAMPLE, CENTRES, ROUNDS = 20_000, 4096, 12
 TARGET, TRIED, NEIGHBOURS = 0.97, 256, 10
 
 
@@ -68,24 +68,6 @@ def _nearest(centres: np.ndarray, key: str, probes: int):
     return run
 
 
-def _blocks(key: str, size: int):
-    """Rows sorted by list into blocks of one list each."""
-    pack = _packed(key, "vector", size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = np.asarray(batch.column("list").to_pylist(), dtype=np.int32)
-            starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(lists) else []
-            for a, b in zip(starts, [*starts[1:], len(lists)]):
-                for block in pack(iter([batch.slice(a, b - a)])):
-                    yield block.append_column("list", pa.array(np.full(block.num_rows, lists[a], dtype=np.int32)))
-
-    return run
-
-
-_BLOCK = "ids binary, matrix binary, dim int, list int"
-
-
 class Index:
     def __init__(self, centres: np.ndarray, probes: int, blocks: DataFrame):
         self.centres, self.probes, self.blocks = centres, probes, blocks
@@ -96,8 +78,7 @@ def build(corpus: DataFrame, fitted: tuple[np.ndarray, int]) -> Index:
     centres, probes = fitted
     rows = corpus.where(F.col("vector").isNotNull()).select("chunk_id", "vector")
     placed = rows.mapInArrow(_nearest(centres, "chunk_id", 1), "chunk_id long, vector array<float>, list int") if len(centres) else rows.withColumn("list", F.lit(0)).limit(0)
-    spread = placed.repartition(F.col("list"), F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("list", "chunk_id")
-    return Index(centres, probes, materialize(spread.mapInArrow(_blocks("chunk_id", BLOCK), _BLOCK), "index"))
+    return Index(centres, probes, materialize(by_list(placed, "chunk_id"), "index"))
 
 
 def search(queries: DataFrame, index: Index, k: int, probes: int | None = None) -> DataFrame:
@@ -105,9 +86,7 @@ def search(queries: DataFrame, index: Index, k: int, probes: int | None = None)
     probes = index.probes if probes is None else probes
     rows = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
     sent = rows.mapInArrow(_nearest(index.centres, "query_id", max(probes, 1)), "query_id long, vector array<float>, list int") if len(index.centres) else rows.withColumn("list", F.lit(0)).limit(0)
-    packed = sent.repartition("list").sortWithinPartitions("list", "query_id").mapInArrow(_blocks("query_id", 512), _BLOCK).toDF("q_ids", "q_matrix", "q_dim", "list")
-    met = index.blocks.toDF("c_ids", "c_matrix", "c_dim", "list").join(packed, "list").drop("list")
-    return top_k(met.mapInArrow(_best_of_blocks(k), "query_id long, chunk_id long, score double"), k)
+    return meet_by_list(sent, index.blocks, k)
 
 
 def recall(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +53,11 @@ def _settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dense_by_level(spark: SparkSession, d: str, settings: DataFrame) -> DataFrame:
-    """The best hits of each level, of which a query takes those of its levels, ``dense_k`` of them."""
-    every = vectors(spark, d)
-    queries = every.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector").join(settings.select("query_id"), "query_id", "left_semi")
-    parts = [retrieval.dense_top_k(queries, every.where(F.col("level") == n), DEEPEST).withColumn("level", F.lit(n)) for n in range(1, 6)]
-    both = functools.reduce(DataFrame.unionByName, parts).drop("rank").join(settings.select("query_id", "levels", "dense_k"), "query_id")
-    own = retrieval.top_k(both.where(F.array_contains("levels", F.col("level"))), DEEPEST)
-    return own.where(F.col("rank") <= F.col("dense_k")).select("query_id", "chunk_id", "score", "rank")
+    """The best ``dense_k`` hits of a query within its levels."""
+    every = vectors(spark, d).withColumnRenamed("level", "list")
+    queries = every.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector").join(settings.select("query_id", F.explode("levels").alias("list")), "query_id")
+    found = retrieval.dense_within(queries, every, DEEPEST).join(settings.select("query_id", "dense_k"), "query_id")
+    return found.where(F.col("rank") <= F.col("dense_k")).drop("dense_k")
 
 
 def _expanded(spark: SparkSession, d: str, questions: DataFrame) -> DataFrame:

@@ -215,13 +215,9 @@ def _without_itself(hits: DataFrame, k: int) -> DataFrame:
 
 def _same_label(spark: SparkSession, d: str) -> DataFrame:
     """Expected items, apart from any run: the ten nearest rows of the asking row's label, without itself."""
-    every = load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
-    found = every.limit(0).select(F.col("chunk_id").alias("query_id"), F.col("chunk_id").alias("item"))
-    for row in every.where("label IS NOT NULL").select("label").distinct().orderBy("label").collect():  # one row a label
-        own = every.where(F.col("label") == row.label)
-        near = retrieval.dense_top_k(own.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), own, 11)
-        found = found.union(_without_itself(near, 10).select("query_id", "chunk_id"))
-    return materialize(found, "expected")
+    every = load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").alias("list"))
+    near = retrieval.dense_within(every.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), every, 11)
+    return materialize(_without_itself(near, 10).select("query_id", F.col("chunk_id").alias("item")), "expected")
 
 
 def eval_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -334,6 +330,19 @@ def _base(k: int) -> str:
     return f"WITH {VEC}, {ASKED}, {CORPUS}, dn AS ({_dense_sql(k)}), kw AS ({_keyword_sql(k)})"
 
 
+def _mmr_sql(near: str) -> str:
+    """Four greedy picks of pools of sixteen; ``near`` weighs the similarity of related documents."""
+    return f"""{_base(12).replace("WITH ", "WITH RECURSIVE ", 1)}, {_fused_sql({"dense": "dn", "keyword": "kw"})}, tg AS (SELECT id, trim(string_split(tags, ',')[1]) AS tag FROM now),
+ po AS (SELECT f.query_id, f.chunk_id, row_number() OVER (PARTITION BY f.query_id ORDER BY rank, f.chunk_id) - 1 AS i, count(*) OVER (PARTITION BY f.query_id) AS n, v.v, q.v AS qv, ch.doc_id, tag
+  FROM fused f LEFT JOIN vec v ON v.vec_id = f.chunk_id LEFT JOIN vec q ON q.vec_id = f.query_id AND f.query_id % 20 = 0 LEFT JOIN ch ON ch.id = f.chunk_id LEFT JOIN tg ON tg.id = ch.doc_id WHERE rank <= 16),
+ rl AS (SELECT *, CASE WHEN v IS NULL OR qv IS NULL THEN (n - i) / n ELSE list_cosine_similarity(v, qv) END AS rel FROM po),
+ sm AS (SELECT query_id, x.chunk_id AS a, y.chunk_id AS b, list_cosine_similarity(x.v, y.v) * CASE WHEN x.doc_id = y.doc_id THEN 0.7{near} ELSE 1 END AS s FROM rl x JOIN rl y USING (query_id) WHERE x.v IS NOT NULL AND y.v IS NOT NULL),
+ pk AS (SELECT query_id, [first(chunk_id ORDER BY round(rel, 9) DESC, i)] AS ids, 1 AS k FROM rl WHERE n > 4 GROUP BY 1 UNION ALL
+  SELECT query_id, list_append(any_value(ids), first(chunk_id ORDER BY val DESC, i)), any_value(k) + 1 FROM (SELECT p.query_id, p.ids, p.k, r.chunk_id, r.i, round(0.6 * r.rel - 0.4 * greatest(0, coalesce(max(s), 0)), 9) AS val
+   FROM pk p JOIN rl r ON r.query_id = p.query_id AND NOT list_contains(p.ids, r.chunk_id) LEFT JOIN sm ON sm.query_id = p.query_id AND sm.a = r.chunk_id AND list_contains(p.ids, sm.b) WHERE p.k < 4 GROUP BY p.query_id, p.ids, p.k, r.chunk_id, r.i, r.rel) t GROUP BY query_id)
+ SELECT query_id, ids[j] AS chunk_id, CAST(j AS INT) AS pick FROM (SELECT query_id, ids, unnest(generate_series(1, 4)) AS j FROM pk WHERE k = 4) t UNION ALL SELECT query_id, chunk_id, CAST(i + 1 AS INT) FROM rl WHERE n <= 4"""
+
+
 _TWO = {"dense": "dn", "keyword": "kw"}
 _ROUND4 = "floor(({x}) * 10000 + 0.5) / 10000"
 _JUDGED = "jd AS (SELECT query_id, chunk_id, (chunk_id * 7 + query_id) % 5 + 1 AS given, (chunk_id * 7 + query_id) % 3 <> 0 AS relevant FROM dn WHERE (chunk_id * 7 + query_id) % 11 <> 0)"
@@ -380,6 +389,8 @@ SQL = {
     "three_channels": f"{_base(8)}, {TERMS}, {SPARSE}, {_fused_sql(_TWO | {'sparse': 'sparse'})} SELECT * FROM fused WHERE rank <= 16",
     "adaptive_lambdas": f"""WITH {NOW} SELECT id, round(greatest(0.3, least(0.95, CASE level WHEN 1 THEN 0.35 WHEN 2 THEN 0.5 WHEN 3 THEN 0.6 WHEN 4 THEN 0.75 WHEN 5 THEN 0.85 ELSE 0.6 END
  + CASE WHEN level_confidence < 0.5 THEN -0.1 WHEN level_confidence > 0.8 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS lam FROM now""",
+    "mmr_selected": _mmr_sql(""),
+    "mmr_graph": _mmr_sql(" WHEN x.tag = y.tag AND x.tag <> '' THEN 1 - 0.3 * exp(-1)"),
     "feature_rerank": f"""{_KEYWORD}, {EDGES}, x AS (SELECT kw.query_id, kw.chunk_id, kw.score, asked.text AS question, corpus.text AS content, file_name, seq, {_CODE_TERMS.format(c="asked.text")} AS terms, {_BARE.format(c="asked.text")} AS bq, {_BARE.format(c="corpus.text")} AS bc FROM kw JOIN asked USING (query_id) JOIN corpus USING (chunk_id)),
  y AS MATERIALIZED (SELECT *, CASE WHEN length(bq) <= 2 THEN [bq] ELSE {_PAIRS.format(b="bq")} END AS pairs, lower(content || ' ' || coalesce(file_name, '')) AS t, lower(coalesce(file_name, '')) AS f FROM x),
  ask AS (SELECT query_id, chunk_id, related_project_id AS project_id, f, unnest(terms) AS term FROM y JOIN pt ON pt.id = y.query_id WHERE related_project_id IS NOT NULL), cs AS (SELECT DISTINCT project_id, lower(method_name) AS term, lower(caller_file) AS file FROM edges),

@@ -40,3 +40,15 @@ def test_materialized_tables_lie_in_one_folder_and_go_together(spark):
     assert kept.count() == 3 and f"{scratch_dir(spark).removeprefix('file:').rstrip('/').lstrip('/')}/sedimenta-" in kept.inputFiles()[0]
     clear_scratch(spark)
     assert materialize(spark.range(2), "again").count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from sedimenta.sources import scratch_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch_dir(cluster)

@@ -121,10 +121,10 @@ def test_an_edit_changes_only_pieces_near_it():
 
 
 def test_cut_oversized(spark):
-    rows = [(1, "a b. " * 500, 3, 1), (1, "a b. " * 500, 3, 1), (2, "x" * 2000, 1, 1), (3, None, 1, 1), (4, "", None, None), (5, "é" * 2001, None, 2)]
+    rows = [(1, "a b. " * 500, 3, 1), (1, "a b. " * 500, 3, 1), (2, "x" * 2000, 1, 1), (3, None, 1, 1), (4, "", None, None), (5, "é" * 2001, None, 2), (6, "z" * 3000, 1, 1), (6, "short now", 1, 2), (7, "y" * 2500, 1, None), (None, "n" * 2500, 1, 1)]
     df = spark.createDataFrame(rows, "id long, content string, seq int, at int").withColumn("key", F.lit(0)).withColumn("piece", F.lit("clash"))
     found = pieces.cut_oversized(df.drop("key", "piece"), "id", "content", ["seq"], "at").toPandas()
-    assert set(found.id) == {1, 5} and found.piece.str.len().max() <= 1000
+    assert set(found.id) == {1, 5, 7} and found.piece.str.len().max() <= 1000
     for i, text in ((1, "a b. " * 500), (5, "é" * 2001)):
         own = found[found.id == i].sort_values("piece_no")
         assert "".join(p if k == 0 else p[100:] for k, p in enumerate(own.piece)) == text

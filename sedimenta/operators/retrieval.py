@@ -273,18 +273,21 @@ def query_terms(queries: DataFrame, corpus: DataFrame, most: int = 8) -> DataFra
 
 
 def term_frequency(content: Column, term: Column) -> Column:
-    """0.1 without the term, else 0.2 + 0.8 * count / 5, at most 1; counts don't overlap and ignore case."""
-    low = F.lower(content)
-    n = (F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term)
+    """0.1 without the term, else 0.2 + 0.8 * count / 5, at most 1; ``content`` and ``term`` are in lower case, counts don't
+    overlap."""
+    n = (F.length(content) - F.length(F.replace(content, term, F.lit("")))) / F.length(term)
     return F.when(n == 0, F.lit(0.1)).otherwise(F.least(F.lit(1.0), 0.2 + 0.8 * n / 5))
 
 
 def sparse_top_k(terms: DataFrame, corpus: DataFrame, k: int, least: float = 0.3, per_term: int = 15) -> DataFrame:
-    """Weighted terms: each term's best ``per_term`` chunks by frequency, summed as weight * frequency per chunk."""
+    """Weighted terms: each term's best ``per_term`` chunks by frequency, summed as weight * frequency per chunk.
+
+    Only the words are exploded; a chunk's text meets its asked words as one row, and what leaves is a word and a number."""
     used = materialize(terms.where(F.col("weight") >= least), "terms")
-    held = corpus.select("chunk_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(used.select("term").distinct(), "term", "left_semi")
-    hits = top_k(held.select("term", "chunk_id", term_frequency(F.col("text"), F.col("term")).alias("score")), per_term, "term")
-    summed = used.join(hits, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))
+    asked = corpus.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(used.select("term").distinct(), "term", "left_semi")
+    held = corpus.select("chunk_id", F.lower("text").alias("low")).join(asked.groupBy("chunk_id").agg(F.collect_set("term").alias("terms")), "chunk_id")
+    counted = held.select("chunk_id", F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), term_frequency(F.col("low"), t).alias("score")))).alias("s")).select("chunk_id", "s.term", "s.score")
+    summed = used.join(top_k(counted, per_term, "term"), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))
     return top_k(summed, k)
 
 

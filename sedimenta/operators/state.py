@@ -18,9 +18,15 @@ def micros(ts: str) -> Column:
 
 
 def attempts_in_window(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
-    """Adds how many of the key's rows lie in the ``seconds`` before and at each row (all attempts, also refused ones)."""
-    recent = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("attempts", F.count(F.lit(1)).over(recent))
+    """Adds how many of the key's rows lie in the ``seconds`` before and at each row (all attempts, also refused ones).
+
+    A key's rows are cut into stretches of that length, each with a copy of the one before it as its halo, so a hot key is
+    many groups."""
+    stretch = F.floor(micros(ts) / (seconds * 1_000_000))
+    own = df.withColumns({"_stretch": stretch, "_halo": F.lit(False)})
+    both = own.unionByName(df.where(F.col(ts).isNotNull()).withColumns({"_stretch": stretch + 1, "_halo": F.lit(True)}))
+    recent = Window.partitionBy(*keys, "_stretch").orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    return both.withColumn("attempts", F.count(F.lit(1)).over(recent)).where("NOT _halo").drop("_halo", "_stretch")
 
 
 def limit_rate(df: DataFrame, keys: str | Sequence[str], ts: str, record: str, capacity: int, seconds: int, accepted: DataFrame | None = None) -> DataFrame:

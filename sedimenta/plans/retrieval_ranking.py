@@ -84,7 +84,7 @@ def lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Words of the points' titles, widened by the lexicon."""
-    return retrieval.expand(points(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text")), lexicon(spark, d))
+    return retrieval.expand(points(spark, d).select(F.col("id").alias("query_id"), F.col("title").alias("text")), lexicon(spark, d))
 
 
 def hypothesis_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -379,7 +379,7 @@ SQL = {
     "sparse_terms": f"WITH {ASKED}, {CORPUS}, {TERMS} SELECT * FROM terms",
     "sparse_top_k": f"WITH {ASKED}, {CORPUS}, {TERMS}, {SPARSE} SELECT * FROM sparse",
     "query_expansion": rf"""WITH {NOW}, {PT}, l AS (SELECT list_filter(list_transform(string_split(tags, ','), lambda t: trim(t)), lambda t: t <> '') AS g FROM now WHERE tags IS NOT NULL),
- p AS (SELECT DISTINCT a, b FROM (SELECT g[1] AS a, unnest(g[2:]) AS b FROM l WHERE len(g) > 1) t WHERE a <> b), q AS (SELECT DISTINCT id AS query_id, w AS term FROM (SELECT id, unnest(regexp_split_to_array(lower(title), '[\s,，。；;、．.！!？?（）()【】\[\]：:]+')) AS w FROM pt WHERE id % 20 = 0) t WHERE w <> '')
+ p AS (SELECT DISTINCT a, b FROM (SELECT g[1] AS a, unnest(g[2:]) AS b FROM l WHERE len(g) > 1) t WHERE a <> b), q AS (SELECT DISTINCT id AS query_id, w AS term FROM (SELECT id, unnest(regexp_split_to_array(lower(title), '[\s,，。；;、．.！!？?（）()【】\[\]：:]+')) AS w FROM pt) t WHERE w <> '')
  SELECT * FROM q UNION SELECT query_id, b FROM q JOIN p ON a = term UNION SELECT query_id, a FROM q JOIN p ON b = term""",
     "hypothesis_texts": f"WITH {PT} SELECT id, coalesce(nullif(trim(concept), ''), source_question, title) AS text FROM pt",
     "route_back_fill": f"""WITH {VEC}, a AS ({_dense_sql(4, 'level IN (1, 2)')}), b AS ({_dense_sql(4, 'level IN (2, 3)')}), u AS (SELECT *, 'A' AS route FROM a UNION ALL SELECT query_id, chunk_id, round(score * 0.6, 6), rank, 'B' FROM b WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM a))

@@ -85,7 +85,7 @@ def text_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_hard_split(spark: SparkSession, d: str) -> DataFrame:
-    pieces = textual.hard_split(load(spark, d, "documents").where(F.length("text") > 2000), "doc_id", "text", 1000, 100)
+    pieces = textual.hard_split(load(spark, d, "documents"), "doc_id", "text", 1000, 100)
     return pieces.select("doc_id", "piece_no", F.length("piece").alias("n_chars"), F.md5(F.col("piece").cast("binary")).alias("piece_md5"))
 
 
@@ -107,8 +107,8 @@ def text_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_masked(spark: SparkSession, d: str) -> DataFrame:
-    chunks = chunks_once(spark, d).where(textual.contains_any(F.coalesce("content", F.lit("")), WORDS))
-    return chunks.select("id", F.md5(textual.mask(F.col("content"), WORDS).cast("binary")).alias("masked_md5"))
+    chunks = chunks_once(spark, d).where("content IS NOT NULL")
+    return chunks.select("id", textual.contains_any(F.col("content"), WORDS).alias("found"), F.md5(textual.mask(F.col("content"), WORDS).cast("binary")).alias("masked_md5"))
 
 
 def text_of_html(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,7 @@ def text_of_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_unfenced(spark: SparkSession, d: str) -> DataFrame:
-    chunks = chunks_once(spark, d).where(F.col("content").contains("```"))
+    chunks = chunks_once(spark, d).where("content IS NOT NULL")
     return chunks.select("id", F.md5(textual.unfence(F.col("content")).cast("binary")).alias("body_md5"))
 
 
@@ -282,13 +282,13 @@ SQL = {
   WHEN (regexp_matches(lower(coalesce(file_name, '')), '\.txt$') OR NOT contains(lower(coalesce(file_name, '')), '.')) AND length(coalesce(text, '')) >= 20
    AND (regexp_matches(coalesce(text, ''), '(?m)^#{1,6}\s+\S') OR contains(coalesce(text, ''), '```') OR contains(coalesce(text, ''), '|')) THEN 'MARKDOWN' ELSE 'TEXT' END AS kind FROM documents""",
     "text_hard_split": """SELECT doc_id, CAST(k AS INT) AS piece_no, CAST(length(p) AS INT) AS n_chars, md5(p) AS piece_md5 FROM (SELECT doc_id, k, substring(text, CAST(k * 900 + 1 AS BIGINT), 1000) AS p
-  FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(greatest(0, ceil((length(text) - 1000) / 900.0)) AS BIGINT))) AS k FROM documents WHERE length(text) > 2000) t) u""",
+  FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(greatest(0, ceil((length(text) - 1000) / 900.0)) AS BIGINT))) AS k FROM documents WHERE length(text) > 0) t) u""",
     "text_contexts": f"""WITH {CHUNKS}, x AS (SELECT id, content, coalesce(CASE WHEN trim(context_description) <> '' THEN context_description END, CASE WHEN trim({_HEAD}) <> '' THEN '文档章节：' || {_HEAD} END,
   CASE WHEN length(content) > 50 THEN substring(content, 1, 50) || '...' ELSE content END) AS description FROM ch WHERE content IS NOT NULL)
 SELECT id, description, md5(CASE WHEN coalesce(trim(description), '') <> '' THEN description || chr(10) || chr(10) || content ELSE content END) AS embedding_text_md5 FROM x""",
-    "text_masked": f"WITH {CHUNKS} SELECT id, md5({_MASK}) AS masked_md5 FROM ch WHERE regexp_matches(coalesce(content, ''), '{'|'.join(sorted(WORDS, key=len, reverse=True))}')",
+    "text_masked": f"WITH {CHUNKS} SELECT id, regexp_matches(content, '{'|'.join(sorted(WORDS, key=len, reverse=True))}') AS found, md5({_MASK}) AS masked_md5 FROM ch WHERE content IS NOT NULL",
     "text_of_html": rf"SELECT doc_id, trim(regexp_replace({_HTML}, '\s+', ' ', 'g'), ' ') AS plain FROM documents",
-    "text_unfenced": rf"""WITH {CHUNKS}, x AS (SELECT id, content, regexp_extract(content, '(?s)```[A-Za-z]*\s*(.*?)```', 1) AS f FROM ch WHERE contains(content, '```'))
+    "text_unfenced": rf"""WITH {CHUNKS}, x AS (SELECT id, content, regexp_extract(content, '(?s)```[A-Za-z]*\s*(.*?)```', 1) AS f FROM ch WHERE content IS NOT NULL)
 SELECT id, md5(regexp_replace(CASE WHEN f <> '' THEN f ELSE content END, '^\s+|\s+$', '', 'g')) AS body_md5 FROM x""",
     "text_truncated": f"WITH {CHUNKS} SELECT id, length(content) > 600 AS compress, md5(CASE WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END) AS cut_md5 FROM ch WHERE content IS NOT NULL",
     "text_context_shown": f"""WITH {LIVE}, {FIVE} SELECT doc_id, md5(string_agg('[片段' || rank || ' 来源:' || coalesce(file_name, '') || ' #' || coalesce(CAST(seq AS VARCHAR), '') || ']' || chr(10) || coalesce(content, '') || chr(10) || chr(10), '' ORDER BY rank)) AS context_md5

@@ -333,3 +333,18 @@ def test_stacks_of_projects(spark):
     paths = ["src/main/java/com/acme/pay/A.java", "backend/src/test/java/com/x/B.java", "cmd/tool/main.go", "src/main/A.java", "a/b.py"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert [r.m for r in df.select(codebase.module_of(F.col("p")).alias("m")).collect()] == ["acme", "x", "cmd/tool", None, None]
+
+
+def test_attempts_are_counted_across_stretches(spark):
+    rng, start = random.Random(6), datetime(2025, 1, 1)
+    rows = [(i, rng.choice("ab"), start + timedelta(seconds=rng.choice([0, 60, 120, rng.randint(0, 400)]))) for i in range(90)] + [(90, "a", None)]
+    found = {r.id: r.attempts for r in state.attempts_in_window(spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz"), ["k"], "ts", 60).collect()}
+    want = {i: sum(1 for _, k2, t2 in rows if k2 == k and t2 is not None and timedelta(0) <= t - t2 <= timedelta(seconds=60)) for i, k, t in rows if t is not None}
+    assert {i: n for i, n in found.items() if i != 90} == want and found[90] == 1
+
+
+def test_term_search_counts_in_whole_texts(spark):
+    terms = spark.createDataFrame([(1, "cache", 1.0), (1, "rare", 0.5), (1, "weak", 0.1)], "query_id long, term string, weight double")
+    chunks = spark.createDataFrame([(1, "Cache cache CACHED cache"), (2, "rare weak"), (3, None), (4, "weak")], "chunk_id long, text string")
+    found = [(r.chunk_id, r.score) for r in retrieval.sparse_top_k(terms, chunks, 5).orderBy("rank").collect()]
+    assert found == [(1, 0.84), (2, 0.18)]

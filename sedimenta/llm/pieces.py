@@ -111,7 +111,8 @@ def cut_oversized(df: DataFrame, key: str, text: str, keep: list[str], order: st
     latest = df.groupBy(F.col(key).alias("of")).agg(F.max(order).alias("latest"))  # without the texts
     long = df.where(F.length(text) > limit).select(F.col(key).alias("key"), F.struct(F.col(order).alias("o"), F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("s"))
     one = long.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("s").alias("s"))
-    one = one.join(latest, F.col("key") == F.col("of")).where(F.col("s.o").eqNullSafe(F.col("latest"))).select("key", *[f"s.k{i}" for i in range(len(keep))], "s.text")
+    # no row is later than the latest; an equality would become a join key and shuffle the texts again
+    one = one.join(latest, F.col("key") == F.col("of")).where(F.col("latest").isNull() | (F.col("s.o") >= F.col("latest"))).select("key", *[f"s.k{i}" for i in range(len(keep))], "s.text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.schema.fields if f.name != "text")
     pieces = one.mapInArrow(_cut(size, overlap, least), f"{kinds}, piece_no int, start int, piece string")
     return pieces.select(F.col("key").alias(key), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "piece_no", "start", "piece")
